@@ -26,6 +26,12 @@ def op3_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return language(_table(spark, sf_dir, "documents"))
 
 
+def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.license import licenses
+
+    return licenses(_table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.sentencepiece import encode
 
@@ -57,6 +63,12 @@ def op9_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.fingerprint import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and "_" in name}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -74,9 +86,9 @@ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
 l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * k >= 80 * (x.n + y.n - k)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-r AS (SELECT a AS doc_id, a AS at FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.at)
+r AS (SELECT a AS doc_id, a AS z FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.z)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id)::BIGINT AS component_id, d.doc_id = coalesce(c.c, d.doc_id) AS kept
-FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(at) AS c FROM r GROUP BY doc_id) c USING (doc_id)
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(z) AS c FROM r GROUP BY doc_id) c USING (doc_id)
 """
 
 
