@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.decontam import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.minhash import near_duplicates
 
@@ -92,5 +98,23 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(z) AS
 """
 
 
+_GROUPS = ", ".join(f"('0x' || substr(h, {5 * k + 1}, 5))::INTEGER" for k in range(8))
+
+ORACLE_OP8 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, [{_GROUPS}] AS g FROM p),
+t AS (
+  SELECT page_id, payload_bytes, list_reduce(list_transform(g, lambda x: concat(
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 15) % 32 + 1, 1), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 10) % 32 + 1, 1),
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 5) % 32 + 1, 1), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x % 32 + 1, 1))), lambda a, b: concat(a, b)) AS payload_digest
+  FROM d
+),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM t)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minmax_near_dedup": ORACLE_OP2}
+    return {"op2_minmax_near_dedup": ORACLE_OP2, "op8_warc_round_trip": ORACLE_OP8}
