@@ -5,7 +5,7 @@ evaluations fill 200 values. Bands of five values from five different functions
 similarity 0.8 with probability 1 - 1e-7. Documents with equal shingle sets are one class from the start. In each
 bucket the members are held against the bucket's smallest class, its hub. What then still lies in different components
 beside one hub is compared as well, unless an exact bound rules the pair out: the triangle inequality of the Jaccard
-distance over the hub, or prefixes of rare shingles that share nothing. No member is dropped and no group is expanded
+distance over the hub, or bitmaps of the two sets, whose common cells bound what the sets can share. No member is dropped and no group is expanded
 into all its pairs. Links are confirmed on whole sets.
 """
 
@@ -25,8 +25,8 @@ from cairn.session import drop_stage, ship, stage
 FUNCTIONS, ROWS, BANDS = 100, 5, 40
 #: Ids that may be broadcast: 8 bytes each, so at most about 8 MB.
 BROADCAST_IDS = 1_000_000
-#: Cells of the table that ranks shingles by rarity.
-SLOTS = 1 << 20
+#: A set's bitmap, in longs.
+WORDS = 32
 
 _A = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -103,37 +103,19 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(_similarity, "a bigint, b bigint, shared bigint, united bigint")
 
 
-def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SLOTS, dtype=np.int64)
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set's size, how many of its shingles share a cell with another, and its cells as WORDS longs."""
     for b in batches:
-        total += np.bincount((column_bytes(b.column(0))[0].view(np.uint64) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
-
-
-def _prefixes(counts, percent: int):
-    """The rarest shingles of a set, so many that a partner of `percent` likeness must share one of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
-        for b in batches:
-            out = []
-            for x in b.column(1):
-                v = np.frombuffer(x.as_buffer(), np.uint64)
-                order = np.lexsort((v, table[(v % np.uint64(SLOTS)).astype(np.int64)]))
-                out.append(v[order[: len(v) - -(-percent * len(v) // 100) + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["rep", "prefix"])
-
-    return run
-
-
-def _rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, prefix) of each set; rarity is by counts in a table of SLOTS hashed cells, so its size is fixed."""
-    spark = sets.sparkSession
-    cells = sets.select("shingles").mapInArrow(_slot_counts, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    table = np.ones(SLOTS, dtype=np.int32)
-    table[cells.column(0).to_numpy()] = np.minimum(cells.column(1).to_numpy(), 1 << 30)
-    return sets.select("doc_id", "shingles").mapInArrow(_prefixes(spark.sparkContext.broadcast(table), percent), "rep bigint, prefix array<bigint>")
+        data, off = column_bytes(b.column(1))
+        v, at = data.view(np.uint64), off // 8
+        row, cell = np.repeat(np.arange(b.num_rows), np.diff(at)), (v % np.uint64(64 * WORDS)).astype(np.int64)
+        key = np.unique(row * 64 * WORDS + cell)
+        row, cell = key // (64 * WORDS), key % (64 * WORDS)
+        words = np.zeros(b.num_rows * WORDS, dtype=np.uint64)
+        np.bitwise_or.at(words, row * WORDS + cell // 64, np.uint64(1) << (cell % 64).astype(np.uint64))
+        words = words.reshape(b.num_rows, WORDS).view(np.int64)
+        n = np.diff(at)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(n - np.bincount(row, minlength=b.num_rows)), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(WORDS))], ["rep", "n", "lost", *(f"b{k}" for k in range(WORDS))])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -176,12 +158,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = at.groupBy("hub").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 2").select("hub")
     apart = stage(at.join(mixed, "hub"), "apart")
     main = apart.groupBy("hub", "comp").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"))
-    prefixes = _rare_prefixes(sets.join(apart.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), percent)
-    full = stage(apart.join(prefixes, "rep").join(main, "hub"), "prefixes")
+    maps = sets.join(apart.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "shingles").mapInArrow(_bitmaps, "rep bigint, n bigint, lost bigint, " + ", ".join(f"b{k} bigint" for k in range(WORDS)))
+    full = stage(apart.join(maps, "rep").join(main, "hub"), "bitmaps")
     p, q = full.where("comp <> main").alias("p"), full.alias("q")
     slack = (100 - percent) / 100 + 1e-9
+    # two sets share at most their common cells and what the cells of one of them hide
+    most = " + ".join(f"bit_count(p.b{k} & q.b{k})" for k in range(WORDS)) + " + least(p.lost, q.lost)"
     rest = (
-        p.join(q, F.expr(f"p.hub = q.hub and p.comp <> q.comp and (q.comp = q.main or p.rep < q.rep) and abs(p.far - q.far) <= {slack} and arrays_overlap(p.prefix, q.prefix)"))
+        p.join(q, F.expr(f"p.hub = q.hub and p.comp <> q.comp and (q.comp = q.main or p.rep < q.rep) and abs(p.far - q.far) <= {slack} and {100 + percent} * ({most}) >= {percent} * (p.n + q.n)"))
         .select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b"))
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
