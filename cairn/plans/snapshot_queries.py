@@ -296,3 +296,22 @@ def chunk_reuse_histogram(spark, sf_dir):
 @_query("SELECT file_hash, count(*)::BIGINT AS copies, min(relative_path) AS first_path, sum(logical_size)::BIGINT AS bytes FROM ventry WHERE snapshot_id = 2 AND entry_type = 'file' GROUP BY 1 HAVING count(*) > 1")
 def dup_files(spark, sf_dir):
     return ventries(spark, sf_dir).where("snapshot_id = 2 and entry_type = 'file'").groupBy("file_hash").agg(F.count("*").alias("copies"), F.min("relative_path").alias("first_path"), F.sum("logical_size").alias("bytes")).where("copies > 1")
+
+
+@_query(None)
+def blake3_chunks(spark, sf_dir):
+    from cairn.functions.codecs import blake3_hex
+    from cairn.session import ship
+
+    ship(spark)
+    return chunking.chunks(vfiles(spark, sf_dir).where("snapshot_id = 2"), CHUNK).select("relative_path", "sequence_number", blake3_hex("data").alias("chunk_hash"))
+
+
+@_query(None)
+def zstd_roundtrip(spark, sf_dir):
+    from cairn.functions.codecs import zstd_compress, zstd_decompress
+    from cairn.session import ship
+
+    ship(spark)
+    packed = chunking.chunks(vfiles(spark, sf_dir).where("snapshot_id = 2"), CHUNK).withColumn("frame", zstd_compress()("data"))
+    return packed.select("relative_path", "sequence_number", (zstd_decompress()("frame", "raw_length") == F.col("data")).alias("exact"))
