@@ -136,7 +136,7 @@ def _blanks(x: str) -> str:
 
 #: Word intervals of one rule r in `norm`: each match is fenced, the text cut at the fences, and blanks are counted.
 _MATCHES = f"""aggregate(
-  slice(split(regexp_replace(norm, r.pattern, '\\u0001$0\\u0002'), '\\u0001'), 2, 2147483647),
+  slice(split(regexp_replace(norm, r.pattern, '\\u0001$0\\u0002'), '\\u0001'), 2, 1000000000),
   named_struct('words', {_blanks("substring_index(regexp_replace(norm, r.pattern, '\\u0001$0\\u0002'), '\\u0001', 1)")}, 'found', cast(array() as array<struct<s:int,e:int,p:int,i:int,label:string>>)),
   (acc, x) -> named_struct(
     'words', acc.words + {_blanks("x")},
