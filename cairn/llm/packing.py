@@ -18,7 +18,7 @@ from cairn.llm.chunks import Memory, boundaries, encode_rows
 from cairn.llm.textbytes import NOT_SPACE, slices
 from cairn.session import ship
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 #: How a byte-level vocabulary of this kind cuts texts before merging (a fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
