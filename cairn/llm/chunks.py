@@ -8,8 +8,8 @@ import numpy as np
 
 from cairn.llm.textbytes import span_hashes
 
-#: Chunks that a process remembers between slices: about 40 MB.
-REMEMBERED = 1_000_000
+#: Chunks that a process remembers between slices: about 15 MB.
+REMEMBERED = 400_000
 
 
 class Memory:

@@ -19,7 +19,7 @@ from cairn.llm.textbytes import slices
 from cairn.session import ship
 
 #: Dimensions; letters are folded into SYMBOLS - 1 classes, 0 being anything else.
-DIMENSIONS, SYMBOLS = 512, 64
+DIMENSIONS, SYMBOLS = 512, 48
 GRAMS = SYMBOLS**3
 #: Languages that may be learned (the most frequent): bounds the prototypes.
 LANGUAGES = 500

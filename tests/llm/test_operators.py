@@ -86,7 +86,7 @@ def test_language_bundles_equal_brute_force():
         s = [0, *s, 0]
         s = [x for i, x in enumerate(s) if x or not i or s[i - 1]]
         s = s if s[-1] == 0 else [*s, 0]
-        assert codes == sorted((a * 64 + b) * 64 + c for a, b, c in zip(s, s[1:], s[2:], strict=False) if b)
+        assert codes == sorted((a * langid.SYMBOLS + b) * langid.SYMBOLS + c for a, b, c in zip(s, s[1:], s[2:], strict=False) if b)
     assert letters.tolist() == [True, False, True]
 
 
