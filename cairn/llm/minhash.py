@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.graph import components
-from cairn.llm.textbytes import LOWER, NOT_SPACE, binary_rows, column_bytes, distinct_per_row, mix, shingles, slices, span_hashes, spans
+from cairn.llm.textbytes import LOWER, NOT_SPACE, distinct_per_row, mix, shingles, slices, span_hashes, spans
 from cairn.session import drop_stage, ship, stage
 
 FUNCTIONS, ROWS, BANDS = 100, 5, 40
@@ -78,44 +78,30 @@ def _sketch(id_col: str, text_col: str, width: int):
 
 
 def _sets(width: int):
+    """Each row's set, its size, how many of its shingles share a cell with another, and its cells as WORDS longs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([rows.column(0), binary_rows(*shingle_sets(data, off, width))], ["doc_id", "shingles"])
+            v, at = shingle_sets(data, off, width)
+            n, cells = np.diff(at), 64 * WORDS
+            key = np.unique(np.repeat(np.arange(len(n)), n) * cells + (v % np.uint64(cells)).astype(np.int64))
+            row, cell = key // cells, key % cells
+            words = np.zeros(len(n) * WORDS, dtype=np.uint64)
+            np.bitwise_or.at(words, row * WORDS + cell // 64, np.uint64(1) << (cell % 64).astype(np.uint64))
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v.view(np.int64)))
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * WORDS), pa.array(words.view(np.int64)))
+            lost = n - np.bincount(row, minlength=len(n))
+            yield pa.RecordBatch.from_arrays([rows.column(0), lists, pa.array(n.astype(np.int64)), pa.array(lost.astype(np.int64)), bits], ["doc_id", "shingles", "n", "lost", "bits"])
 
     return run
 
 
-def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        shared, united = np.zeros(b.num_rows, dtype=np.int64), np.ones(b.num_rows, dtype=np.int64)
-        for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            at = np.searchsorted(x, y)
-            shared[i] = (x[np.minimum(at, len(x) - 1)] == y).sum()
-            united[i] = len(x) + len(y) - shared[i]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared), pa.array(united)], ["a", "b", "shared", "united"])
-
-
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, shared, united) on whole sets, for each of `pairs`."""
+    """(a, b, shared, united) on whole sets, for each of `pairs`; row by row, so that no batch of sets is held."""
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(_similarity, "a bigint, b bigint, shared bigint, united bigint")
-
-
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set's size, how many of its shingles share a cell with another, and its cells as WORDS longs."""
-    for b in batches:
-        data, off = column_bytes(b.column(1))
-        v, at = data.view(np.uint64), off // 8
-        row, cell = np.repeat(np.arange(b.num_rows), np.diff(at)), (v % np.uint64(64 * WORDS)).astype(np.int64)
-        key = np.unique(row * 64 * WORDS + cell)
-        row, cell = key // (64 * WORDS), key % (64 * WORDS)
-        words = np.zeros(b.num_rows * WORDS, dtype=np.uint64)
-        np.bitwise_or.at(words, row * WORDS + cell // 64, np.uint64(1) << (cell % 64).astype(np.uint64))
-        words = words.reshape(b.num_rows, WORDS).view(np.int64)
-        n = np.diff(at)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(n - np.bincount(row, minlength=b.num_rows)), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(WORDS))], ["rep", "n", "lost", *(f"b{k}" for k in range(WORDS))])
+    shared = two.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), (F.size("x") + F.size("y")).cast("long").alias("both"))
+    return shared.select("a", "b", "shared", (F.col("both") - F.col("shared")).alias("united"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -144,7 +130,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     involved = crowded.select(F.col("rep").alias("doc_id")).distinct()
     few = involved.count() <= BROADCAST_IDS
     texts = base.join(F.broadcast(involved) if few else involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stage(texts.mapInArrow(_sets(width), "doc_id bigint, shingles binary"), "sets")
+    sets = stage(texts.mapInArrow(_sets(width), "doc_id bigint, shingles array<bigint>, n bigint, lost bigint, bits array<bigint>"), "sets")
 
     scored = stage(_confirm(pairs, sets), "scored")
     near = f"100 * shared >= {int(percent)} * united"
@@ -158,12 +144,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = at.groupBy("hub").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 2").select("hub")
     apart = stage(at.join(mixed, "hub"), "apart")
     main = apart.groupBy("hub", "comp").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"))
-    maps = sets.join(apart.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "shingles").mapInArrow(_bitmaps, "rep bigint, n bigint, lost bigint, " + ", ".join(f"b{k} bigint" for k in range(WORDS)))
+    maps = sets.select(F.col("doc_id").alias("rep"), "n", "lost", "bits")
     full = stage(apart.join(maps, "rep").join(main, "hub"), "bitmaps")
     p, q = full.where("comp <> main").alias("p"), full.alias("q")
     slack = (100 - percent) / 100 + 1e-9
     # two sets share at most their common cells and what the cells of one of them hide
-    most = " + ".join(f"bit_count(p.b{k} & q.b{k})" for k in range(WORDS)) + " + least(p.lost, q.lost)"
+    most = " + ".join(f"bit_count(p.bits[{k}] & q.bits[{k}])" for k in range(WORDS)) + " + least(p.lost, q.lost)"
     rest = (
         p.join(q, F.expr(f"p.hub = q.hub and p.comp <> q.comp and (q.comp = q.main or p.rep < q.rep) and abs(p.far - q.far) <= {slack} and {100 + percent} * ({most}) >= {percent} * (p.n + q.n)"))
         .select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b"))

@@ -133,10 +133,3 @@ def distinct_per_row(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
     keep[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
     v, r = v[keep], r[keep]
     return v, np.searchsorted(r, np.arange(len(off)))
-
-
-def binary_rows(values: np.ndarray, off: np.ndarray) -> pa.Array:
-    """Each row's values as one little-endian binary cell."""
-    width = values.dtype.itemsize
-    body = np.ascontiguousarray(values)
-    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * width).astype(np.int32)), pa.py_buffer(body)])
