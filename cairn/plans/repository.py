@@ -14,8 +14,10 @@ import os
 import shutil
 import time
 import uuid
+import warnings
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from threading import Event
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 from cairn.functions.codecs import blake3, compress_frame, decompress_frame
 from cairn.functions.paths import is_safe_path, object_path
 from cairn.operators import integrity
-from cairn.operators.trees import plan_order, select_for_restore
-from cairn.session import ship
-from cairn.sources.tree import scan, stable_chunks
+from cairn.operators.trees import plan_order, restore_actions, select_for_restore
+from cairn.session import drop_stage, ship, stage
+from cairn.sources.tree import TreeSource, scan, stable_chunks
 
 MAX_CHUNK = 4 << 20
 TABLES = {
@@ -131,8 +133,13 @@ class Repository:
 
     # snapshots
 
-    def snapshot(self, source: str, message: str = "", **scan_options) -> dict:
-        """Scan `source`, store what is new and publish; returns the manifest."""
+    def snapshot(self, source: str, message: str = "", *, progress: Callable[[dict], None] | None = None, cancel: Event | None = None, **scan_options) -> dict:
+        """Scan `source`, store what is new and publish; returns the manifest.
+
+        `progress` is called on the driver after each step with its name and the seconds so far; what it raises before
+        publishing fails the snapshot, afterwards it is only reported. `cancel`, once set, ends the snapshot at the next
+        step as `cancelled`.
+        """
         source = os.path.abspath(source)
         for a, b in ((source, self.root), (self.root, source)):
             if a == b or b.startswith(a.rstrip("/") + "/"):
@@ -143,25 +150,39 @@ class Repository:
             new_id = max((m["id"] for m in self.manifests()), default=0) + 1
             manifest = {"id": new_id, "created_at_ns": began, "source_root": source, "message": message, "status": "pending"}
             self._save(manifest)
+
+            def step(point: str) -> None:
+                self.hit(point)
+                if cancel is not None and cancel.is_set():
+                    raise RepositoryError("cancelled", point)
+                if progress is not None:
+                    progress({"snapshot": new_id, "step": point, "seconds": (time.time_ns() - began) / 1e9})
+
             try:
-                self.hit("after_pending")
-                manifest |= self._ingest(new_id, source, scan_options)
-                self.hit("before_publish")
+                step("after_pending")
+                manifest |= self._ingest(new_id, source, scan_options, step)
+                step("before_publish")
                 manifest |= {"status": "complete", "completed_at_ns": time.time_ns(), "duration_ms": (time.time_ns() - began) // 1_000_000}
                 self._save(manifest)
             except Exception as e:
-                self._save(manifest | {"status": "failed", "failure_message": str(e)[:500]})
+                status = "cancelled" if isinstance(e, RepositoryError) and e.code == "cancelled" else "failed"
+                self._save(manifest | {"status": status, "failure_message": str(e)[:500]})
                 self._clean(new_id)
                 raise
             self.hit("after_publish")
+            if progress is not None:
+                try:
+                    progress({"snapshot": new_id, "step": "complete", "seconds": (time.time_ns() - began) / 1e9})
+                except Exception as e:  # the snapshot is published and stays so
+                    warnings.warn(f"progress callback: {e}", stacklevel=2)
             return manifest
 
-    def _ingest(self, new_id: int, source: str, scan_options: dict) -> dict:
+    def _ingest(self, new_id: int, source: str, scan_options: dict, step: Callable[[str], None]) -> dict:
         size, level = self.info["chunk_size_bytes"], self.info["zstd_level"]
         staged = self._at("staging", f"read-{new_id}")
         scan(self.spark, source, **scan_options).write.mode("overwrite").parquet(f"{staged}/scan")
         found = self.spark.read.parquet(f"{staged}/scan")
-        self.hit("after_scan")
+        step("after_scan")
 
         def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # one row per chunk, and a last one (sequence -1) with the file's hash; a changing file gives a warning row
@@ -195,7 +216,7 @@ class Repository:
                 yield pd.DataFrame({"hash": f["chunk_hash"], "raw_size": f["raw_size"], "payload": [compress_frame(bytes(x), level) for x in f["data"]]})
 
         objects = self._write(fresh.mapInPandas(pack, "hash string, raw_size bigint, payload binary"), "objects", new_id)
-        self.hit("after_objects")
+        step("after_objects")
         chunks = self._write(objects.select("hash", "raw_size", F.octet_length("payload").cast("long").alias("compressed_size"), object_path("hash").alias("object_path")), "chunks", new_id)
         whole = read.where("sequence_number = -1 and warning is null").select("relative_path", F.col("chunk_hash").alias("file_hash"), F.col("raw_length").alias("read_size"))
         joined = found.where("kind = 'entry'").join(whole, "relative_path", "left").where("entry_type <> 'file' or file_hash is not null")
@@ -203,7 +224,7 @@ class Repository:
         self._write(refs, "entry_chunks", new_id)
         lost = read.where("warning is not null").select("relative_path", F.col("warning").alias("code"), F.lit("the file could not be read whole").alias("message"))
         self._write(found.where("kind = 'warning'").select("relative_path", "code", "message").unionByName(lost).withColumnRenamed("code", "warning_code"), "snapshot_warnings", new_id)
-        self.hit("after_metadata")
+        step("after_metadata")
         count = lambda k: F.count(F.when(F.col("entry_type") == k, 1)).alias(f"{k}_count")
         out = entries.agg(count("file"), count("directory"), count("symlink"), F.coalesce(F.sum("logical_size"), F.lit(0)).alias("logical_size"), F.count(F.when((F.col("entry_type") == "file") & F.col("file_hash").isNull(), 1)).alias("unhashed")).first().asDict()
         if out.pop("unhashed"):
@@ -268,8 +289,38 @@ class Repository:
         damaged = self.table("objects").select("hash", "raw_size", "payload").mapInPandas(check, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
         return out.unionByName(damaged.select(F.lit("damaged object").alias("violation"), "n"))
 
-    def restore(self, snapshot: int, target: str, paths: list[str] | None = None, on_conflict: str = "fail") -> dict:
-        """Write the selection below `target`, every file verified; on_conflict is fail, skip or replace."""
+    def _actions(self, entries: DataFrame, target: str, on_conflict: str | Callable[[str, str], str]) -> DataFrame:
+        """Entries with their action: create, merge, replace or skip. Conflicts are settled here, before any write."""
+        if not os.path.isdir(target):
+            return entries.withColumn("action", F.lit("create"))
+        self.spark.dataSource.register(TreeSource)
+        there = self.spark.read.format("cairn_tree").option("path", target).load().where("relative_path <> ''").select("relative_path", F.coalesce("entry_type", F.lit("other")).alias("existing_type"))
+        clash = entries.join(there, "relative_path").where("not (entry_type = 'directory' and existing_type = 'directory')").select("relative_path", "existing_type").orderBy("relative_path")
+        if on_conflict == "fail":
+            if first := clash.first():
+                raise RepositoryError("conflict", first.relative_path)
+        if callable(on_conflict):
+            asked = [(r.relative_path, on_conflict(r.relative_path, r.existing_type)) for r in clash.toLocalIterator()]
+            there = there.join(self.spark.createDataFrame(asked, "relative_path string, decision string"), "relative_path", "left")
+            for path, decision in asked:
+                if decision not in ("skip", "replace"):
+                    raise RepositoryError("cancelled" if decision == "cancel" else "invalid_argument", path)
+        else:
+            there = there.withColumn("decision", F.lit(on_conflict))
+        plan = restore_actions(entries, there, F.coalesce("decision", F.lit("skip"))).drop("decision")
+        kept = plan.where("action = 'replace'").join(there.where("existing_type = 'directory'"), "relative_path", "left_semi").first()
+        if kept:  # a tree is never replaced by a file or link
+            raise RepositoryError("conflict", kept.relative_path)
+        return plan
+
+    def restore(self, snapshot: int, target: str, paths: list[str] | None = None, on_conflict: str | Callable[[str, str], str] = "fail") -> dict:
+        """Write the selection below `target`, every file verified.
+
+        on_conflict is fail, skip or replace, or a function of a path and the type found there that returns skip, replace
+        or cancel. A skipped directory skips all below it. Nothing is written before all conflicts are settled.
+        """
+        if not callable(on_conflict) and on_conflict not in ("fail", "skip", "replace"):
+            raise RepositoryError("invalid_argument", on_conflict)
         self.require_complete(snapshot)
         target = os.path.abspath(target)
         if target == self.root or target.startswith(self.root + "/") or self.root.startswith(target + "/"):
@@ -283,23 +334,27 @@ class Repository:
             if missing:
                 raise RepositoryError("not_found", missing.relative_path)
             entries = select_for_restore(entries, asked)
+        plan = stage(self._actions(entries, target, on_conflict), "restore")
+        skipped = plan.where("action = 'skip' and entry_type = 'file'").count()
+        entries = plan.where("action <> 'skip'")
         folders = plan_order(entries.where("entry_type = 'directory'")).collect()
         for d in folders:
             full = os.path.join(target, d.relative_path)
             if os.path.lexists(full) and (os.path.islink(full) or not os.path.isdir(full)):
-                raise RepositoryError("conflict", d.relative_path)
+                if d.action != "replace":
+                    raise RepositoryError("conflict", d.relative_path)
+                os.unlink(full)
             os.makedirs(full, exist_ok=True)
         parts = self.table("entry_chunks", [snapshot]).join(self.table("objects").select(F.col("hash").alias("chunk_hash"), "raw_size", "payload").dropDuplicates(["chunk_hash"]), "chunk_hash", "left")
-        files = entries.where("entry_type = 'file'").select("relative_path", "file_hash", "logical_size", "modified_time_ns", "posix_mode")
+        files = entries.where("entry_type = 'file'").select("relative_path", "file_hash", "logical_size", "modified_time_ns", "posix_mode", "action")
         work = files.join(parts.select("relative_path", "sequence_number", "raw_length", "payload"), "relative_path", "left")
 
         def write(key, frame: pd.DataFrame) -> pd.DataFrame:
             frame, path = frame.sort_values("sequence_number"), key[0]
             full, first = os.path.join(target, path), frame.iloc[0]
-            if os.path.lexists(full):
-                if on_conflict == "skip":
-                    return pd.DataFrame([(path, "skipped")], columns=["relative_path", "status"])
-                if on_conflict != "replace" or os.path.isdir(full):
+            if os.path.lexists(full) and first["action"] != "replace":
+                # an earlier attempt of this task may have written it; anything else came after the plan
+                if os.path.islink(full) or not os.path.isfile(full) or os.path.getsize(full) != first["logical_size"] or blake3([b"".join(stable_chunks(full, MAX_CHUNK) or [])])[0] != first["file_hash"]:
                     raise RepositoryError("conflict", path)
             numbers = frame["sequence_number"].dropna().astype(int).tolist()
             if numbers != list(range(len(numbers))):
@@ -318,14 +373,12 @@ class Repository:
             return pd.DataFrame([(path, "restored")], columns=["relative_path", "status"])
 
         done = work.groupBy("relative_path").applyInPandas(write, "relative_path string, status string").groupBy("status").count().collect()
-        links = entries.where("entry_type = 'symlink'").select("relative_path", "symlink_target").toLocalIterator()
+        links = entries.where("entry_type = 'symlink'").select("relative_path", "symlink_target", "action").toLocalIterator()
         n_links = 0
         for link in links:
             full = os.path.join(target, link.relative_path)
             if os.path.lexists(full):
-                if on_conflict == "skip":
-                    continue
-                if on_conflict != "replace" or os.path.isdir(full) and not os.path.islink(full):
+                if link.action != "replace" or os.path.isdir(full) and not os.path.islink(full):
                     raise RepositoryError("conflict", link.relative_path)
                 os.unlink(full)
             os.symlink(link.symlink_target, full)
@@ -333,7 +386,8 @@ class Repository:
         for d in reversed(folders):
             os.chmod(os.path.join(target, d.relative_path), d.posix_mode)
             os.utime(os.path.join(target, d.relative_path), ns=(d.modified_time_ns,) * 2)
-        return {r.status: r["count"] for r in done} | {"directories": len(folders), "symlinks": n_links}
+        drop_stage(plan)
+        return {"restored": sum(r["count"] for r in done), "skipped": skipped, "directories": len(folders), "symlinks": n_links}
 
     # what a repository holds
 

@@ -78,6 +78,44 @@ def test_failed_snapshots_leave_the_old_one(spark, tmp_path, source, point):
     assert r.snapshot(str(source))["new_chunk_count"] == 1
 
 
+def test_progress_and_cancellation(spark, tmp_path, source):
+    from threading import Event
+
+    r, seen, stop = Repository.create(spark, str(tmp_path / "repo"), chunk_size=64), [], Event()
+    r.snapshot(str(source), progress=lambda e: seen.append(e["step"]))
+    assert seen == ["after_pending", "after_scan", "after_objects", "after_metadata", "before_publish", "complete"]
+    stop.set()
+    with pytest.raises(RepositoryError, match="cancelled"):
+        r.snapshot(str(source), cancel=stop)
+    assert [m["status"] for m in r.manifests()] == ["complete", "cancelled"] and r.table("entries", [2]).count() == 0
+
+
+def test_conflicts_are_settled_before_writing(spark, tmp_path, source):
+    r, out = Repository.create(spark, str(tmp_path / "repo"), chunk_size=64), tmp_path / "out"
+    r.snapshot(str(source))
+    out.mkdir()
+    (out / "a.txt").write_bytes(b"mine")
+    (out / "copy.txt").write_bytes(b"mine")
+    (out / "sub").write_bytes(b"a file where a directory goes")
+    with pytest.raises(RepositoryError, match="conflict"):
+        r.restore(1, str(out))
+    assert set(tree(out)) == {"a.txt", "copy.txt", "sub"}
+    asked = []
+
+    def resolve(path, found):
+        asked.append((path, found))
+        return "replace" if path == "a.txt" else "skip"
+
+    done = r.restore(1, str(out), on_conflict=resolve)
+    assert asked == [("a.txt", "file"), ("copy.txt", "file"), ("sub", "file")]
+    assert (done["restored"], done["skipped"]) == (2, 3)
+    assert (out / "a.txt").read_bytes() == b"hello world" * 3 and (out / "copy.txt").read_bytes() == b"mine" and (out / "sub").is_file()
+    with pytest.raises(RepositoryError, match="cancelled"):
+        r.restore(1, str(out), on_conflict=lambda path, found: "cancel")
+    assert r.restore(1, str(out), on_conflict="replace")["restored"] == 5
+    assert (out / "sub/deep/é b.bin").read_bytes() == bytes(range(256))
+
+
 def test_guards(spark, tmp_path, source):
     r = Repository.create(spark, str(tmp_path / "repo"))
     with pytest.raises(RepositoryError, match="invalid_argument"):
