@@ -267,6 +267,8 @@ def test_lcs_by_bits():
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as p
 
+    odd = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (8, "a b c d e f"), (8, "a b c d e f"), (9, None)], "doc_id long, text string")
+    assert sorted(map(str, (r.doc_id for r in p.near_dedup(spark, odd, SF).collect()))) == ["7", "9", "None"]
     out = docs
     for k, (name, stage) in enumerate(p.STAGES):
         before, columns = out.count(), out.columns
