@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.labelled import remainder
+from cairn.llm.labelled import accept, remainder
 from cairn.llm.textbytes import slices
 from cairn.session import ship
 
@@ -120,18 +120,23 @@ def bundle(row: np.ndarray, code: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def nearest(names: list[str], proto: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each row."""
+    row, code, letters = grams(data, off)
+    v = bundle(row, code, len(off) - 1)
+    if not names:
+        return np.full(len(v), UNKNOWN, dtype=object), np.zeros(len(v))
+    cos = (v @ proto.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    best = cos.argmax(1)
+    score = np.where(letters, np.clip(cos[np.arange(len(v)), best], 0, 1), 0.0)
+    return np.where(letters, np.array(names, dtype=object)[best], UNKNOWN), score
+
+
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, proto = model.value
         for part, data, off in slices(batches, "text"):
-            row, code, letters = grams(data, off)
-            v = bundle(row, code, len(off) - 1)
-            score, lang = np.zeros(len(v)), np.full(len(v), UNKNOWN, dtype=object)
-            if names:
-                cos = (v @ proto.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                best = cos.argmax(1)
-                score = np.where(letters, np.clip(cos[np.arange(len(v)), best], 0, 1), 0.0)
-                lang = np.where(letters, np.array(names, dtype=object)[best], UNKNOWN)
+            lang, score = nearest(names, proto, data, off)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score.astype(np.float64))], ["doc_id", "lang_pred", "score"])
 
     return run
@@ -148,6 +153,18 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_predict(shared), "doc_id bigint, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float) -> DataFrame:
+    """Rows of docs with a language that they are as near to as `least`, with their own columns alone."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((model[0], model[1].astype(np.float32)))
+
+    def keep(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        lang, score = nearest(*shared.value, data, off)
+        return (lang != UNKNOWN) & (score >= least)
+
+    return accept(docs, keep)
+
+
 def language(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) per row; learns from the rows outside the held-out fold."""
     out = predict(docs, learn(docs.where(remainder("doc_id", 4) != 2)))

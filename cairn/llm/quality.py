@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.labelled import fit, remainder, share, training_rows
+from cairn.llm.labelled import accept, fit, remainder, share, training_rows
 from cairn.llm.textbytes import ALNUM, NOT_SPACE, mix, slices, span_hashes, spans
 from cairn.session import ship
 
@@ -96,13 +96,18 @@ def ftrl(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
     return {"w": weights(slice(None)).astype(np.float32)}
 
 
+def likelihood(w: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Each row's likelihood of label 1, under the weights."""
+    cell, value, at = features(data, off)
+    dot = np.add.reduceat(np.concatenate([w[cell] * value, [0.0]]), at[:-1]) * (np.diff(at) > 0) + w[CELLS]
+    return 1 / (1 + np.exp(-np.clip(dot, -30, 30)))
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value["w"].astype(np.float64)
         for part, data, off in slices(batches, "text"):
-            cell, value, at = features(data, off)
-            dot = np.add.reduceat(np.concatenate([w[cell] * value, [0.0]]), at[:-1]) * (np.diff(at) > 0) + w[CELLS]
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), pa.array(1 / (1 + np.exp(-np.clip(dot, -30, 30))))], [*part.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), pa.array(likelihood(w, data, off))], [*part.schema.names[:-1], "score"])
 
     return run
 
@@ -124,6 +129,13 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     return rows.mapInArrow(_score(share(docs, model)), "doc_id bigint, score double")
 
 
+def accepted(docs: DataFrame, model: dict[str, np.ndarray], least: float) -> DataFrame:
+    """Rows of docs that score `least` or more, with their own columns alone; null texts count as empty and stay null."""
+    ship(docs.sparkSession)
+    shared = share(docs, model)
+    return accept(docs, lambda data, off: likelihood(shared.value["w"].astype(np.float64), data, off) >= least)
+
+
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of `docs`."""
     out = score(docs, train(docs, labels))
