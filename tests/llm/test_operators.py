@@ -264,11 +264,17 @@ def test_lcs_by_bits():
         assert decontam.common(a, masks, len(b)) == t[-1][-1]
 
 
-def test_pipeline_stages(spark, docs):
+def test_pipeline_stages(spark, docs, monkeypatch):
     import corpus_pipeline as p
 
     odd = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (8, "a b c d e f"), (8, "a b c d e f"), (9, None)], "doc_id long, text string")
     assert sorted(map(str, (r.doc_id for r in p.near_dedup(spark, odd, SF).collect()))) == ["7", "9", "None"]
+    with monkeypatch.context() as m:  # more ids than may be broadcast
+        m.setattr(minhash, "BROADCAST_IDS", 0)
+        assert p.near_dedup(spark, odd, SF).count() == 3
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    same = quality.score(docs, model).where("score >= 0.5").select("doc_id").exceptAll(p.by_quality(spark, docs, SF).select("doc_id"))
+    assert same.count() == 0
     out = docs
     for k, (name, stage) in enumerate(p.STAGES):
         before, columns = out.count(), out.columns
