@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.textbytes import slices
+from cairn.llm.textbytes import SLICE_BYTES, slices
 
 
 def remainder(id_col: str, modulus: int) -> Column:
@@ -59,7 +59,7 @@ def accept(docs: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]
     """Rows of docs, all columns as they stand, whose text `keep` (bytes, offsets -> booleans) holds for: one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in slices(batches, "text"):
+        for part, data, off in slices(batches, "text", SLICE_BYTES // 2):
             yield part.filter(pa.array(keep(data, off), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
