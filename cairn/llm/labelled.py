@@ -11,8 +11,6 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.textbytes import SLICE_BYTES, slices
-
 
 def remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)
@@ -55,16 +53,6 @@ def share(docs: DataFrame, model: dict[str, np.ndarray]) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(model)
 
 
-def accept(docs: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Rows of docs, all columns as they stand, whose text `keep` (bytes, offsets -> booleans) holds for: one pass, no shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in slices(batches, "text", SLICE_BYTES // 2):
-            yield part.filter(pa.array(keep(data, off), pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
     """Weights (last: the constant) of a small logistic regression, by damped Newton steps."""
     a = np.column_stack([x, np.ones(len(x))])
