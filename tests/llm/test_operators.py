@@ -250,6 +250,40 @@ def test_decontamination_against_brute_force(spark, edge, empty, docs):
     assert decontam.leaks(edge, bench).count() == 0
 
 
+def pairs_by_rule(docs, items):
+    """(doc, item) that count by the longest common subsequence around some passage, without any search."""
+    want = set()
+    for d, text in docs:
+        w = words(text, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+        for i, t in items:
+            x, y = (words(z, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+") for z in (t, decontam.answer_of(t)))
+            for b in range(0, max(len(w) - decontam.PASSAGE, 0) + decontam.STRIDE, decontam.STRIDE):
+                near = w[max(b - len(x), 0) : b + decontam.PASSAGE + len(x)]
+                masks: dict[str, int] = {}
+                for k, v in enumerate(near):
+                    masks[v] = masks.get(v, 0) | 1 << k
+                lcs = decontam.common(x, masks, len(near)) / len(x)
+                if lcs >= 0.6 and (lcs >= 0.8 or decontam.common(y, masks, len(near)) / len(y) >= 0.6):
+                    want.add((d, i))
+    return want
+
+
+def test_decontamination_finds_items_of_common_words(spark):
+    rng = random.Random(6)
+    usual, rare = [f"u{k}" for k in range(150)], [f"r{k}" for k in range(3000)]
+    items = [(i, " ".join([*rng.sample(usual, 22 + i % 4), *rng.sample(rare, i % 4)])) for i in range(30)]
+    bodies = [[rng.choice(usual) if rng.random() < 0.8 else rng.choice(rare) for _ in range(rng.randrange(20, 260))] for _ in range(240)]
+    for k, body in enumerate(bodies[:90]):
+        body[(at := rng.randrange(len(body))) : at] = items[k % 29][1].split()
+    for body in bodies[100:220]:
+        body[(at := rng.randrange(len(body))) : at] = items[29][1].split()  # a hot item
+    docs = [(k, " ".join(b)) for k, b in enumerate(bodies)]
+    want = pairs_by_rule(docs, items)
+    assert {(k, k % 29) for k in range(90)} | {(k, 29) for k in range(100, 220)} <= want
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_lcs_by_bits():
     rng = random.Random(4)
     for _ in range(100):
