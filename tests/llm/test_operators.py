@@ -284,6 +284,19 @@ def test_decontamination_finds_items_of_common_words(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+def test_decontamination_finds_paraphrases(spark):
+    rng = random.Random(7)
+    usual, rare = ["the", "of", "and", "to", "a"], [f"r{k}" for k in range(400)]
+    items = [(i, " ".join(rng.choice(usual) if rng.random() < 0.6 else rng.choice(rare) for _ in range(rng.randrange(20, 60)))) for i in range(20)]
+    docs = []
+    for k in range(160):
+        copy = [w if w in usual or rng.random() < 0.4 else f"x{rng.randrange(99)}" for w in items[k % 20][1].split()]
+        docs.append((k, " ".join([*(f"y{rng.randrange(99)}" for _ in range(rng.randrange(90))), *copy, *(f"z{rng.randrange(99)}" for _ in range(rng.randrange(90)))])))
+    want = pairs_by_rule(docs, items)
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert len(want) > 80 and {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_lcs_by_bits():
     rng = random.Random(4)
     for _ in range(100):
