@@ -132,20 +132,20 @@ def _predict(model):
                 best = cos.argmax(1)
                 score = np.where(letters, np.clip(cos[np.arange(len(v)), best], 0, 1), 0.0)
                 lang = np.where(letters, np.array(names, dtype=object)[best], UNKNOWN)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score.astype(np.float64))], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score.astype(np.float64)), pa.array(np.bincount(row, minlength=len(v)))], ["doc_id", "lang_pred", "score", "n_letters"])
 
     return run
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """(doc_id, lang_pred, score) for each row, from the whole text; score is the cosine, at least 0.
+    """(doc_id, lang_pred, score, n_letters) for each row, from the whole text; score is the cosine, at least 0.
 
     Null texts and texts without a letter give `und` and 0, and so does everything where no language was learned. Of
     equally near languages the first by name wins. Repeated rows are answered one by one; other columns are ignored.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model[0], model[1].astype(np.float32)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_predict(shared), "doc_id bigint, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_predict(shared), "doc_id bigint, lang_pred string, score double, n_letters bigint")
 
 
 def language(docs: DataFrame) -> DataFrame:

@@ -326,3 +326,14 @@ def test_pipeline_stages(spark, docs):
         assert empty.count() == 0
     assert out.where("not exact").count() == 0
     assert struct.calcsize("i") == 4
+
+
+def test_language_stage_drops_unlike_texts(spark, docs):
+    import corpus_pipeline as p
+
+    rng = random.Random(9)
+    sets = ["abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "".join(chr(0x4E00 + i) for i in range(3000))]
+    odd = [(10_000 + k, " ".join("".join(rng.choice(sets[k % 5]) for _ in range(rng.randrange(2, 9))) for _ in range(150))) for k in range(100)]
+    table = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(*r, None) for r in odd], "doc_id long, text string, lang string"))
+    left = {r.doc_id for r in p.by_language(spark, table, SF).collect()}
+    assert left == {r.doc_id for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")}
