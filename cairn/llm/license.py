@@ -1,7 +1,7 @@
 """License detection by ordered signature rules, in DataFrame functions only.
 
 A text is lower-cased in A-Z and its words (runs of digits, letters and non-ASCII characters) are joined by single
-blanks. Texts that hold none of the stems skip the rules. In the others each rule whose own keyword stands in the text
+blanks. Texts that hold none of the phrases that gate() draws from the rules skip them. In the others each rule whose own keyword stands in the text
 runs its pattern; every match is an interval of words. Going through the intervals by start, the longest first, one that
 lies inside an accepted interval is suppressed, and so is one that overlaps an accepted one of higher priority; equal
 intervals go to the higher priority and then to the earlier rule.
@@ -9,6 +9,8 @@ intervals go to the higher priority and then to the earlier rule.
 
 from __future__ import annotations
 
+from re import _constants, _parser
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +21,11 @@ DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"apache license": "apache", "cc by": "cc-by", "gnu general public license": "gpl", "mit license": "mit"}
 BASE_PATTERN = "(?<= )(?:" + "|".join(BASE) + ")(?= )"
 
-#: What a text must hold for any rule to run.
-STEMS = (" licen", " spdx ", " cc ", " cc0 ", " gpl", " lgpl", " agpl", " copyright ", " public domain ", " unlicense ", " warranty ", " wtfpl ", " permission ")
-
 _V = "(?: version| v)?"
 _LATER = "(?: or (?:any )?later| only)?(?: version)?"
 #: label: (keyword, pattern of its name). Keywords are plain parts of every match.
 FAMILIES: dict[str, tuple[str, str]] = {
-    "0bsd": ("0bsd", "0bsd|zero clause bsd"),
+    "0bsd": ("bsd", "0bsd|zero clause bsd"),
     "afl-3.0": ("academic free", f"academic free licen[cs]e{_V} 3(?: 0)?"),
     "agpl-3.0": ("agpl", f"agpl{_V} ?3(?: 0)?{_LATER}"),
     "agpl-3.0-name": ("affero", f"gnu affero general public licen[cs]e(?:{_V} 3(?: 0)?)?{_LATER}"),
@@ -99,7 +98,7 @@ SENTENCES = (
     ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted", 90),
     ("bsd-3-clause", "endorse or promote", "neither the name of .{1,120}? may be used to endorse or promote products", 92),
     ("apache-2.0", "apache org licenses", "apache org licenses license 2 0", 90),
-    ("gpl", "free software foundation", "redistribute it and or modify it under the terms of the gnu general public license", 90),
+    ("gpl", "redistribute it", "redistribute it and or modify it under the terms of the gnu general public license", 90),
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 92),
     ("cc0-1.0", "publicdomain zero", "creativecommons org publicdomain zero 1 0", 90),
     ("cc-by", "creativecommons org licenses", "creativecommons org licenses by (?:2 0|2 5|3 0|4 0)", 88),
@@ -125,6 +124,47 @@ def rules() -> list[tuple[int, str, str, str, int]]:
     return [(i, label, keyword, f"(?<= )(?:{pattern})(?= )", priority) for i, (label, keyword, pattern, priority) in enumerate(out)]
 
 
+def _held(tree, most: int = 16) -> set[str]:
+    """Phrases of which every match of a parsed pattern holds one; the longest plain part, choices spelt out up to `most`."""
+    runs, best = {""}, {""}
+    for op, arg in tree:
+        if op is _constants.SUBPATTERN:
+            inner = _spelt(arg[3])
+        else:
+            inner = _spelt([(op, arg)])
+        if inner and len(inner) * len(runs) <= most:
+            runs = {x + y for x in runs for y in inner}
+        else:
+            best, runs = max(best, runs, key=lambda x: min(map(len, x))), {""}
+    return max(best, runs, key=lambda x: min(map(len, x)))
+
+
+def _spelt(tree) -> set[str]:
+    """All texts that a parsed pattern matches, if it has no repeats; else none."""
+    out = {""}
+    for op, arg in tree:
+        if op is _constants.LITERAL:
+            more = {chr(arg)}
+        elif op is _constants.IN and all(kind is _constants.LITERAL for kind, _ in arg):
+            more = {chr(c) for _, c in arg}
+        elif op is _constants.SUBPATTERN:
+            more = _spelt(arg[3])
+        elif op is _constants.BRANCH:
+            parts = [_spelt(x) for x in arg[1]]
+            more = set().union(*parts) if all(parts) else set()
+        else:
+            more = set()
+        out = {x + y for x in out for y in more}
+    return out
+
+
+def gate() -> list[str]:
+    """Phrases of which every match of every rule holds one."""
+    patterns = [name for _, name in FAMILIES.values()] + [pattern for _, _, pattern, _ in SENTENCES]
+    found = set().union({"spdx license identifier"}, *(_held(_parser.parse(x)) for x in patterns))
+    return sorted(x for x in found if not any(y in x for y in found - {x}))
+
+
 def normal(text: Column) -> Column:
     """' word word ' of a text; two blanks if it has no word."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), DELIMITERS, " ")), F.lit(" "))
@@ -165,7 +205,7 @@ def licenses(docs: DataFrame) -> DataFrame:
     """
     any_of = lambda words: " or ".join(f"contains(norm, '{w}')" for w in words)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text")).alias("norm"))
-    rows = rows.withColumn("has_base", F.expr(any_of(f" {p} " for p in BASE))).withColumn("gated", F.expr(any_of(STEMS)))
+    rows = rows.withColumn("has_base", F.expr(any_of(f" {p} " for p in BASE))).withColumn("gated", F.expr(any_of(gate())))
     literal = "array(" + ", ".join(f"named_struct('i', {i}, 'label', '{label}', 'keyword', '{keyword}', 'pattern', '{pattern}', 'priority', {priority})" for i, label, keyword, pattern, priority in rules()) + ")"
     rows = rows.withColumn("detected", F.expr(f"case when gated then {_DETECTED.replace('RULES', literal)} end"))
     rows = rows.withColumn("detected", F.expr("coalesce(detected, cast(array() as array<struct<s:int,e:int,p:int,i:int,label:string>>))")).withColumn("kept", F.expr(_RESOLVED))

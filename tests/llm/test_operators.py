@@ -337,3 +337,28 @@ def test_language_stage_drops_unlike_texts(spark, docs):
     table = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(*r, None) for r in odd], "doc_id long, text string, lang string"))
     left = {r.doc_id for r in p.by_language(spark, table, SF).collect()}
     assert left == {r.doc_id for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")}
+
+
+def test_license_rules_fire_on_their_bare_phrases(spark):
+    def bare(tree):
+        """The shortest text of a parsed pattern, by its first choices."""
+        out = ""
+        for op, arg in tree:
+            name = str(op)
+            if name in ("LITERAL", "IN", "ANY"):
+                out += "x" if arg is None else chr(arg) if name == "LITERAL" else chr(arg[0][1])
+            elif name in ("SUBPATTERN", "BRANCH"):
+                out += bare(arg[3] if name == "SUBPATTERN" else arg[1][0])
+            elif "REPEAT" in name:
+                out += bare(arg[2]) * arg[0]
+        return out
+
+    phrases = [(label, bare(re._parser.parse(pattern))) for _, label, _, pattern, _ in license.rules()]
+    phrases = [(label, x) for label, x in phrases if not x.startswith(" ")]  # one pattern begins with optional words
+    phrases += [("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"), ("zlib", "altered source versions must be plainly marked as such")]
+    phrases += [("bsd-3-clause", "BSD 3-Clause"), ("0bsd", "0BSD"), ("0bsd", "zero clause BSD"), ("mit-0", "MIT-0"), ("cecill-2.1", "CeCILL 2.1"), ("apache-2.0", "Apache 2.0")]
+    phrases += [("public-domain", "placed in the public domain"), ("gpl", "redistribute it and/or modify it under the terms of the GNU General Public License")]
+    rows = [(k, x) for k, (_, x) in enumerate(phrases)]
+    found = {r.doc_id: r.labels for r in license.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [x for k, x in enumerate(phrases) if not found[k]] == []
+    assert [x for k, x in enumerate(phrases) if k >= len(phrases) - 10 and x[0] not in found[k].split(",")] == []
