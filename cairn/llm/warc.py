@@ -55,11 +55,12 @@ def write(rows: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> Non
     end = F.lit("\r\n")
     clean = F.regexp_replace("url", "[\\r\\n]", "")
     name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+    own = F.coalesce(name(F.col("page_id")), F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")))  # reads back as null
     visit = F.col("refers_to").isNotNull()
     block = F.when(visit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), "html"))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(visit, F.lit("revisit")).otherwise(F.lit("response")), end,
-        F.lit("WARC-Record-ID: "), name(F.col("page_id")), end,
+        F.lit("WARC-Record-ID: "), own, end,
         F.lit(f"WARC-Date: {date}\r\nWARC-Target-URI: "), clean, end,
         F.lit("WARC-Payload-Digest: sha1:"), "payload_digest", end,
         F.lit("X-Payload-Length: "), F.col("payload_bytes").cast("string"), end,
@@ -218,7 +219,7 @@ def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write a WARC record per page and read the archives back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
     Lengths and digests of responses are computed anew from the payloads read back, those of revisits come from their
-    headers. A null html or url counts as empty; line ends in a url are dropped. Pages that repeat a page_id each have a
+    headers. A null html or url counts as empty; a page without page_id is a response without one; line ends in a url are dropped. Pages that repeat a page_id each have a
     record; of equal payloads under one smallest page_id each such row is a response. An empty table gives no rows;
     other columns are ignored. The archives stay at `path`, by default below the shared folder.
     """

@@ -362,3 +362,9 @@ def test_license_rules_fire_on_their_bare_phrases(spark):
     found = {r.doc_id: r.labels for r in license.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [x for k, x in enumerate(phrases) if not found[k]] == []
     assert [x for k, x in enumerate(phrases) if k >= len(phrases) - 10 and x[0] not in found[k].split(",")] == []
+
+
+def test_warc_keeps_pages_without_page_id(spark, tmp_path):
+    rows = [(None, "u", "same"), (None, "v", "same"), (4, "w", "same"), (6, "w", "same"), (None, None, None)]
+    out = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w")).collect()
+    assert sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in out) == [("4", 4, "response", None), ("6", 4, "revisit", 4), ("None", 0, "response", None), ("None", 4, "response", None), ("None", 4, "response", None)]
