@@ -96,13 +96,27 @@ def ftrl(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
     return {"w": weights(slice(None)).astype(np.float32)}
 
 
+def dots(w: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Likelihood of label 1 of each row: the sparse dot product of its terms with the weights."""
+    cell, value, at = features(data, off)
+    dot = np.add.reduceat(np.concatenate([w[cell] * value, [0.0]]), at[:-1]) * (np.diff(at) > 0) + w[CELLS]
+    return 1 / (1 + np.exp(-np.clip(dot, -30, 30)))
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value["w"].astype(np.float64)
         for part, data, off in slices(batches, "text"):
-            cell, value, at = features(data, off)
-            dot = np.add.reduceat(np.concatenate([w[cell] * value, [0.0]]), at[:-1]) * (np.diff(at) > 0) + w[CELLS]
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), pa.array(1 / (1 + np.exp(-np.clip(dot, -30, 30))))], [*part.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(dots(w, data, off))], ["doc_id", "score"])
+
+    return run
+
+
+def _keep(model, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = model.value["w"].astype(np.float64)
+        for part, data, off in slices(batches, "text"):
+            yield part.filter(pa.array(dots(w, data, off) >= least))
 
     return run
 
@@ -124,7 +138,13 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     return rows.mapInArrow(_score(share(docs, model)), "doc_id bigint, score double")
 
 
+def keep(docs: DataFrame, model: dict[str, np.ndarray], least: float) -> DataFrame:
+    """The rows of `docs`, all columns as they are, that score at least `least`; decided in the pass that scores."""
+    ship(docs.sparkSession)
+    return docs.mapInArrow(_keep(share(docs, model), least), docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row of `docs`."""
+    """(doc_id, held_out, score, predicted) per row of `docs`; a row without a doc_id is in no fold (held_out false)."""
     out = score(docs, train(docs, labels))
-    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
