@@ -12,10 +12,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch between the JVM and Python: 10,000 rows of long texts come to far more than they need at once.
+BATCH, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that UDFs import it wherever they run."""
+    if spark.conf.get(BATCH) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -57,6 +61,9 @@ def drop_stage(df: DataFrame) -> None:
     """Delete the files behind a staged table once nothing lazy refers to it."""
     spark = df.sparkSession
     for f in df.inputFiles()[:1]:
-        folder = f.rsplit("/", 1)[0]
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop_folder(spark, f.rsplit("/", 1)[0])
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
