@@ -12,7 +12,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, comp) for every node of `links`; comp is the smallest node reachable.
 
     Each round takes the least label among a node and its neighbours and then follows the label's own label, so long
-    chains halve. Every round is written to the shared folder. No links give no rows; repeated links and loops are harmless.
+    chains halve. Every round is written to the shared folder, and only the last one, which the result reads, stays there; the
+    caller drops it. No links give no rows; repeated links and loops are harmless.
     """
     both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = stage(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")

@@ -5,8 +5,10 @@ evaluations fill 200 values. Bands of five values from five different functions
 similarity 0.8 with probability 1 - 1e-7. Documents with equal shingle sets are one class from the start. In each
 bucket the members are held against the bucket's smallest class, its hub. What then still lies in different components
 beside one hub is compared as well, unless an exact bound rules the pair out: the triangle inequality of the Jaccard
-distance over the hub, or bitmaps of the two sets, whose common cells bound what the sets can share. No member is dropped and no group is expanded
-into all its pairs. Links are confirmed on whole sets.
+distance over the hub, or bitmaps of the two sets, whose common cells bound what the sets can share. A hub's classes are
+dealt to blocks of at most SIDE by SIDE for that, so no task gets a whole hub. No member is dropped and no group of copies is
+expanded into all its pairs. Links are confirmed on whole sets of shingle hashes (64 bits; classes of equal sets go by two
+sums of these and the size).
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from cairn.session import drop_stage, ship, stage
 FUNCTIONS, ROWS, BANDS = 100, 5, 40
 #: Ids that may be broadcast: 8 bytes each, so at most about 8 MB.
 BROADCAST_IDS = 1_000_000
-#: A set's bitmap, in longs.
-WORDS = 32
+#: A set's bitmap, in longs; classes of one hub on each side of a block of comparisons.
+WORDS, SIDE = 32, 256
 
 _A = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -59,26 +61,30 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return keys
 
 
+def set_keys(sets: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """Two 64-bit sums that name each row's set; 0 for empty ones."""
+    sums = [np.add.reduceat(np.concatenate([mix(sets ^ np.uint64(s)), [np.uint64(0)]]), at[:-1]) for s in (11, 23)]
+    return [pa.array(np.where(np.diff(at) > 0, s, 0).astype(np.uint64).view(np.int64)) for s in sums]
+
+
 def _sketch(id_col: str, text_col: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in slices(batches, text_col):
             sets, at = shingle_sets(data, off, width)
             n = np.diff(at)
-            sums = [np.add.reduceat(np.concatenate([mix(sets ^ np.uint64(s)), [np.uint64(0)]]), at[:-1]) for s in (11, 23)]
             full = np.flatnonzero(n)
             bands = np.zeros((int(len(full)), BANDS), dtype=np.uint64)
             if len(full):
                 bands = band_keys(signature(sets, np.concatenate([at[:-1][full], [len(sets)]])))
             list_at = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(list_at), pa.array(bands.ravel().view(np.int64)))
-            keys = [pa.array(np.where(n > 0, s, 0).astype(np.uint64).view(np.int64)) for s in sums]
-            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(id_col)), pa.array(n.astype(np.int64)), *keys, lists], ["doc_id", "n_shingles", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(id_col)), pa.array(n.astype(np.int64)), *set_keys(sets, at), lists], ["doc_id", "n_shingles", "k1", "k2", "bands"])
 
     return run
 
 
 def _sets(width: int):
-    """Each row's set, its size, how many of its shingles share a cell with another, and its cells as WORDS longs."""
+    """Each row's set, its keys and size, how many of its shingles share a cell with another, and its cells as WORDS longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in slices(batches, "text"):
@@ -91,7 +97,7 @@ def _sets(width: int):
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v.view(np.int64)))
             bits = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * WORDS), pa.array(words.view(np.int64)))
             lost = n - np.bincount(row, minlength=len(n))
-            yield pa.RecordBatch.from_arrays([rows.column(0), lists, pa.array(n.astype(np.int64)), pa.array(lost.astype(np.int64)), bits], ["doc_id", "shingles", "n", "lost", "bits"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), *set_keys(v, at), lists, pa.array(n.astype(np.int64)), pa.array(lost.astype(np.int64)), bits], ["doc_id", "k1", "k2", "shingles", "n", "lost", "bits"])
 
     return run
 
@@ -104,24 +110,53 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return shared.select("a", "b", "shared", (F.col("both") - F.col("shared")).alias("united"))
 
 
+def _blocks(full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes beside one hub that no bound rules out and that aren't known to lie in one component.
+
+    Classes outside the hub's largest component (p) meet all others (q). Each side of a hub is cut into parts of about SIDE
+    by a hash, and a part of one side meets each part of the other as a group of its own.
+    """
+    size = full.groupBy("hub").agg(F.count(F.when(F.col("comp") != F.col("main"), 1)).alias("n_p"), F.count("*").alias("n_q"))
+    parts = size.select("hub", F.expr(f"int(ceil(n_p / {SIDE}))").alias("parts_p"), F.expr(f"int(ceil(n_q / {SIDE}))").alias("parts_q"))
+    rows = full.join(parts, "hub").withColumn("part", F.xxhash64("rep"))
+    p = rows.where("comp <> main").withColumn("i", F.expr("int(pmod(part, parts_p))")).withColumn("j", F.explode(F.expr("sequence(0, parts_q - 1)"))).alias("p")
+    q = rows.withColumn("j", F.expr("int(pmod(part, parts_q))")).withColumn("i", F.explode(F.expr("sequence(0, parts_p - 1)"))).alias("q")
+    slack = (100 - percent) / 100 + 1e-9
+    # two sets share at most their common cells and what the cells of one of them hide
+    most = " + ".join(f"bit_count(p.bits[{k}] & q.bits[{k}])" for k in range(WORDS)) + " + least(p.lost, q.lost)"
+    bound = f"p.comp <> q.comp and (q.comp = q.main or p.rep < q.rep) and abs(p.far - q.far) <= {slack} and {100 + percent} * ({most}) >= {percent} * (p.n + q.n)"
+    met = p.join(q, F.expr(f"p.hub = q.hub and p.i = q.i and p.j = q.j and {bound}"))
+    return met.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document; kept marks the smallest doc_id of its component.
 
     A set holds the distinct `width`-word shingles of the whole text, or the whole sequence where it has fewer words;
     documents link where 100 * shared >= percent * united. Null, empty and blank texts have no shingles and stand alone.
-    Equal texts always share a component. Rows that repeat a doc_id give one row. An empty table gives no rows. Other
-    columns of `docs` are ignored.
+    Equal texts always share a component. Rows that repeat a doc_id give one row and count as one document, with the
+    largest of their sets (ties by its hashes). Each row without a doc_id gives a row of its own, without a component and
+    kept, and links with nothing. An empty table gives no rows. Other columns of `docs` are ignored. The result is written
+    to the shared folder; all that led to it is deleted there.
     """
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = stage(base.mapInArrow(_sketch("doc_id", "text", width), "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>"), "minmax")
+    every = stage(base.mapInArrow(_sketch("doc_id", "text", width), "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>"), "minmax")
+    done = [every]
+    sketch = every.where("doc_id is not null")
+    twice = sketch.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    repeated = not twice.isEmpty()
+    if repeated:
+        one = sketch.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "k1", "k2", "bands")).alias("x")).select("doc_id", "x.*")
+        sketch = stage(sketch.join(twice, "doc_id", "left_anti").unionByName(one), "single")
+        done.append(sketch)
     some = sketch.where("n_shingles > 0")
     classes = some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = stage(some.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "rep"), "classes")
 
     # buckets of class representatives
-    reps = some.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
+    reps = some.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     entry = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep")).distinct()
     hubs = entry.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("bucket", "hub")
     crowded = stage(entry.join(hubs, "bucket"), "buckets")
@@ -129,8 +164,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     involved = crowded.select(F.col("rep").alias("doc_id")).distinct()
     few = involved.count() <= BROADCAST_IDS
-    texts = base.join(F.broadcast(involved) if few else involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stage(texts.mapInArrow(_sets(width), "doc_id bigint, shingles array<bigint>, n bigint, lost bigint, bits array<bigint>"), "sets")
+    texts = base.join(F.broadcast(involved) if few else involved, "doc_id", "left_semi")
+    sets = stage(texts.mapInArrow(_sets(width), "doc_id bigint, k1 bigint, k2 bigint, shingles array<bigint>, n bigint, lost bigint, bits array<bigint>"), "sets")
+    done += [member, crowded, pairs, sets]
+    if repeated:
+        own = sketch.select("doc_id", "k1", "k2", F.col("n_shingles").alias("n"))
+        sets = stage(sets.join(own, ["doc_id", "k1", "k2", "n"], "left_semi").dropDuplicates(["doc_id"]), "sets")
+        done.append(sets)
 
     scored = stage(_confirm(pairs, sets), "scored")
     near = f"100 * shared >= {int(percent)} * united"
@@ -146,21 +186,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     main = apart.groupBy("hub", "comp").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"))
     maps = sets.select(F.col("doc_id").alias("rep"), "n", "lost", "bits")
     full = stage(apart.join(maps, "rep").join(main, "hub"), "bitmaps")
-    p, q = full.where("comp <> main").alias("p"), full.alias("q")
-    slack = (100 - percent) / 100 + 1e-9
-    # two sets share at most their common cells and what the cells of one of them hide
-    most = " + ".join(f"bit_count(p.bits[{k}] & q.bits[{k}])" for k in range(WORDS)) + " + least(p.lost, q.lost)"
-    rest = (
-        p.join(q, F.expr(f"p.hub = q.hub and p.comp <> q.comp and (q.comp = q.main or p.rep < q.rep) and abs(p.far - q.far) <= {slack} and {100 + percent} * ({most}) >= {percent} * (p.n + q.n)"))
-        .select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
+    rest = _blocks(full, int(percent)).join(pairs, ["a", "b"], "left_anti")
     more = stage(_confirm(rest, sets).where(near).select("a", "b"), "linked")
+    done += [scored, comp, apart, full, more]
     if not more.isEmpty():
         comp = components(links.unionByName(more))
+        done.append(comp)
     sized = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     alone = sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    for done in (sets, full, apart, crowded):
-        drop_stage(done)
-    return sized.unionByName(alone).groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")).withColumn("kept", F.expr("doc_id = component_id"))
+    unnamed = every.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    out = sized.unionByName(alone).unionByName(unnamed)
+    out = stage(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near")
+    for table in done:
+        drop_stage(table)
+    return out

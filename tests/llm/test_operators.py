@@ -69,25 +69,81 @@ def test_language(edge, empty, docs):
     assert sum(r.lang_pred == r.lang for r in out) / len(out) > 0.95 and all(0 <= r.score <= 1 for r in out)
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(edge, model).collect()}
     assert len(got) == len(EDGE) and all(got[i] == ("und", 0.0) for i in range(4))
-    assert langid.predict(empty, model).count() == 0 and langid.learn(empty)[0] == []
-    assert {r.lang_pred for r in langid.predict(edge, ([], np.zeros((0, langid.DIMENSIONS)))).collect()} == {"und"}
-
-
-def test_language_bundles_equal_brute_force():
-    import pyarrow as pa
-
-    from cairn.llm.textbytes import column_bytes
-
-    texts = ["Hola, señor!", "", "a1b"]
-    row, code, letters = langid.grams(*column_bytes(pa.array(texts)))
-    got = [sorted(code[row == i].tolist()) for i in range(3)]
-    for text, codes in zip(texts, got, strict=True):
-        s = [int(langid.alphabet()[ord(c)]) for c in text]
-        s = [0, *s, 0]
-        s = [x for i, x in enumerate(s) if x or not i or s[i - 1]]
-        s = s if s[-1] == 0 else [*s, 0]
-        assert codes == sorted((a * langid.SYMBOLS + b) * langid.SYMBOLS + c for a, b, c in zip(s, s[1:], s[2:], strict=False) if b)
-    assert letters.tolist() == [True, False, True]
+    assert langid.predict(empty, model).count() == 0 and langid.learn(empty) == []
+    assert {r.lang_pred for r in langid.predict(edge, []).collect()} == {"und"}
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark, tmp_path):
+    a, b = "a b c d e f g h i j k l", "p q r s t u v w x y z 1 2 3 4 5 6 7 8 9"
+    rows = [(None, a), (None, a), (None, None), (5, a), (5, b), (5, b), (7, b), (9, a), (3, None), (3, ""), (2, a)]
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == sorted([("None", 8, "None", True), ("None", 8, "None", True), ("None", 0, "None", True), ("5", 16, "5", True), ("7", 16, "5", False), ("9", 8, "2", False), ("2", 8, "2", True), ("3", 0, "3", True)])
+
+
+def test_classes_beside_one_hub_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SIDE", 3)
+    rng = random.Random(12)
+    rows = []
+    for hub in (1, 2):
+        for k in range(40):
+            n, lost = rng.randrange(8, 14), rng.randrange(3)
+            comp = rng.choice([0, 0, 0, 100 + rng.randrange(9)])
+            rows.append((hub, 10 * k + hub, comp, rng.random() / 2, n, lost, [rng.getrandbits(62) & rng.getrandbits(62) & 0xFFFF for _ in range(minhash.WORDS)], 0))
+    full = spark.createDataFrame(rows, "hub long, rep long, comp long, far double, n long, lost long, bits array<bigint>, main long")
+    got = sorted(map(tuple, minhash._blocks(full, 80).collect()))
+    want = set()
+    for h, r, c, f, n, lost, bits, _ in rows:
+        for h2, r2, c2, f2, n2, lost2, bits2, _ in rows:
+            most = sum((x & y).bit_count() for x, y in zip(bits, bits2, strict=True)) + min(lost, lost2)
+            if h == h2 and c != 0 and c != c2 and abs(f - f2) <= 0.2 + 1e-9 and 180 * most >= 80 * (n + n2):
+                want.add((min(r, r2), max(r, r2)))
+    assert got == sorted(want) and want
+
+
+def language_vector(text):
+    """The bundle of a text, letter by letter; None without a letter."""
+    s = [ord(c.lower()[0]) + 1 if c.isalpha() else 0 for c in text]
+    s = [0, *(x for i, x in enumerate(s) if x or i and s[i - 1]), 0]
+    s = s[:-1] if len(s) > 2 and s[-2] == 0 else s
+    sign = {x: 1 - 2 * langid.letter_bits(np.array([x]))[0].astype(int) for x in set(s)}
+    v = sum((np.roll(sign[a], 2) * np.roll(sign[b], 1) * sign[c] for a, b, c in zip(s, s[1:], s[2:], strict=False) if b), np.zeros(langid.DIMENSIONS, int))
+    return v if any(s) else None
+
+
+def test_language_equals_brute_force(spark, monkeypatch):
+    texts = {0: "Hola, señor! ¿Qué tal", 1: "", 2: "a1b", 3: "der Hund und die Katze", 4: "ДА нет", 5: "日本語 テキスト", 6: "the dog and the cat", 7: "  x ", 8: None, 9: "Der hund", 10: "the The THE cat", 11: "нет да", 12: "señor hola"}
+    langs = {0: "es", 3: "de", 4: "ru", 5: "ja", 6: "en", 9: "de"}
+    table = spark.createDataFrame([(i, t, langs.get(i)) for i, t in texts.items()], "doc_id long, text string, lang string").repartition(3)
+    proto = {}
+    for i, lang in langs.items():
+        proto[lang] = proto.get(lang, 0) + language_vector(texts[i])
+    model = langid.learn(table)
+    assert len(model) == 1 and model[0][0] == sorted(proto)
+    for name, row in zip(*model[0], strict=True):
+        assert np.allclose(row, proto[name] / np.linalg.norm(proto[name]), atol=1e-6)
+
+    def check(model):
+        for r in langid.predict(table, model).collect():
+            v = language_vector(texts[r.doc_id] or "")
+            if v is None:
+                assert (r.lang_pred, r.score, r.n_letters) == ("und", 0.0, 0)
+                continue
+            cos = {k: p @ v / np.linalg.norm(p) / np.linalg.norm(v) for k, p in proto.items()}
+            assert abs(r.score - max(max(cos.values()), 0)) < 1e-5 and cos[r.lang_pred] > max(cos.values()) - 1e-5
+            assert r.n_letters == sum(c.isalpha() for c in texts[r.doc_id])
+
+    check(model)
+    monkeypatch.setattr(langid, "BLOCK", 2)  # more languages than one pass compares: none is left out
+    blocks = langid.learn(table)
+    assert [n for n, _ in blocks] == [["de", "en"], ["es", "ja"], ["ru"]]
+    check(blocks)
+
+
+def test_every_letter_has_its_own_vector():
+    letters = sorted({ord(chr(c).lower()[0]) + 1 for c in [*range(0x41, 0x24F), *range(0x370, 0x52F), *range(0x4E00, 0x5E00)] if chr(c).isalpha()})
+    bits = langid.letter_bits(np.array(letters)).astype(np.float32) * 2 - 1
+    dots = bits @ bits.T / langid.DIMENSIONS - np.eye(len(letters))
+    assert np.abs(dots).max() < 0.25
 
 
 def test_licenses_equal_brute_force(edge, empty, docs):
