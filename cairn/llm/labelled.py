@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,31 +17,54 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)
 
 
+#: Bytes of text, at most, that a model is fitted on; what is beyond, in the order of training_rows, isn't used.
+TRAIN_BYTES = 64 << 20
+
+
+def chance(*columns: str) -> Column:
+    """A number from 0 to 1 that depends on the columns alone."""
+    return (F.xxhash64(*columns).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, limit: int) -> DataFrame:
-    """(text, y): at most `limit` labelled documents outside the held-out fold, taken in the order of a hash of doc_id.
+    """(doc_id, text, y): at most `limit` labelled documents outside the held-out fold, taken in the order of a hash of doc_id.
 
-    The ids are chosen before any text is read, so the broadcast side never exceeds `limit` rows. A doc_id that is
-    labelled twice counts once, with its larger label.
+    The ids are chosen before any text is read, so the broadcast side never exceeds `limit` rows; a threshold on the hash
+    comes first, so that about as many reach the task that orders them. A doc_id that is labelled twice counts once, with
+    its larger label; of rows that repeat a doc_id the largest text counts.
     """
-    chosen = (
+    known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held))
-        .groupBy("doc_id").agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    )
+    )
+    total = known.count()
+    if total > limit:
+        known = known.where(chance("doc_id") < (limit + 5 * limit**0.5) / total)
+    chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(chance("doc_id"), "doc_id").limit(limit)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
+
+
+def _first_bytes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        size = pc.cumulative_sum(pc.binary_length(batch.column(batch.schema.get_field_index("text"))).cast(pa.int64())).to_numpy()
+        n = int(np.searchsorted(size, most, "right"))
+        most -= int(size[n - 1]) if n else 0
+        yield batch.slice(0, n)
+        if n < batch.num_rows:
+            return
 
 
-def fit(rows: DataFrame, trainer: Callable[[Iterator[pa.RecordBatch]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """Run `trainer` over all of `rows` in one task, in doc_id order; its arrays come back to the driver."""
+def fit(rows: DataFrame, trainer: Callable[[Iterator[pa.RecordBatch]], dict[str, np.ndarray]], most: int = TRAIN_BYTES) -> dict[str, np.ndarray]:
+    """Run `trainer` over `rows`, up to `most` bytes of text, in one task, in the order of a hash of doc_id; its arrays come
+    back to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer = io.BytesIO()
-        np.savez(buffer, **trainer(batches))
+        np.savez(buffer, **trainer(_first_bytes(batches, most)))
         yield pa.RecordBatch.from_arrays([pa.array([buffer.getvalue()], pa.binary())], ["model"])
 
-    one = rows.repartition(1).sortWithinPartitions("doc_id")
+    one = rows.repartition(1).sortWithinPartitions(chance("doc_id"), "doc_id")
     body = one.mapInArrow(run, "model binary").collect()
     if not body:  # no partition at all
         buffer = io.BytesIO()

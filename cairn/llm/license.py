@@ -1,168 +1,113 @@
 """License detection by ordered signature rules, in DataFrame functions only.
 
 A text is lower-cased in A-Z and its words (runs of digits, letters and non-ASCII characters) are joined by single
-blanks. Texts that hold none of the phrases that gate() draws from the rules skip them. In the others each rule whose own keyword stands in the text
-runs its pattern; every match is an interval of words. Going through the intervals by start, the longest first, one that
-lies inside an accepted interval is suppressed, and so is one that overlaps an accepted one of higher priority; equal
-intervals go to the higher priority and then to the earlier rule.
+blanks. Every rule has keys: plain phrases of whole words of which each match holds one, and of each phrase a
+word as its anchor. Texts without any anchor skip the rules; in the others a rule runs its pattern if a key's anchor and
+phrase stand there. Every match is an interval of words. Detections are taken by priority, the
+earliest and longest first, then in the order of the rules. One is suppressed where it lies inside an accepted one or
+overlaps an accepted one of higher priority, so a weaker detection never suppresses a stronger one. Detections that no
+chain of overlaps joins don't affect each other and are resolved apart, in clusters.
 """
 
 from __future__ import annotations
 
-from re import _constants, _parser
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.license_rules import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words that tell little as anchors.
+USUAL = {"license", "licence", "software", "under", "copyright", "public", "without", "terms", "provided", "version", "general"}
 DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases that always count, with their labels, in the order of the labels.
 BASE = {"apache license": "apache", "cc by": "cc-by", "gnu general public license": "gpl", "mit license": "mit"}
 BASE_PATTERN = "(?<= )(?:" + "|".join(BASE) + ")(?= )"
 
-_V = "(?: version| v)?"
-_LATER = "(?: or (?:any )?later| only)?(?: version)?"
-#: label: (keyword, pattern of its name). Keywords are plain parts of every match.
-FAMILIES: dict[str, tuple[str, str]] = {
-    "0bsd": ("bsd", "0bsd|zero clause bsd"),
-    "afl-3.0": ("academic free", f"academic free licen[cs]e{_V} 3(?: 0)?"),
-    "agpl-3.0": ("agpl", f"agpl{_V} ?3(?: 0)?{_LATER}"),
-    "agpl-3.0-name": ("affero", f"gnu affero general public licen[cs]e(?:{_V} 3(?: 0)?)?{_LATER}"),
-    "apache-1.1": ("apache", f"apache(?: software)? licen[cs]e{_V} 1 1"),
-    "apache-2.0": ("apache", f"apache(?: software)? (?:licen[cs]e{_V} )?2(?: 0)?"),
-    "artistic-1.0": ("artistic", f"artistic licen[cs]e{_V} 1(?: 0)?"),
-    "artistic-2.0": ("artistic", f"artistic licen[cs]e{_V} 2(?: 0)?"),
-    "bsd-2-clause": ("bsd", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd)"),
-    "bsd-3-clause": ("bsd", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd)"),
-    "bsd-4-clause": ("bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"),
-    "bsd": ("bsd", "bsd(?: style)? licen[cs]e"),
-    "bsl-1.0": ("boost", f"boost software licen[cs]e(?:{_V} 1(?: 0)?)?"),
-    "busl-1.1": ("business source", f"business source licen[cs]e(?:{_V} 1 1)?"),
-    "cc0-1.0": ("cc0", "cc0(?: 1 0)?(?: universal)?"),
-    "cc-by": ("cc by", "cc by(?: (?:1 0|2 0|2 5|3 0|4 0))?"),
-    "cc-by-sa": ("cc by sa", "cc by sa(?: (?:1 0|2 0|2 5|3 0|4 0))?"),
-    "cc-by-nc": ("cc by nc", "cc by nc(?: (?:1 0|2 0|2 5|3 0|4 0))?"),
-    "cc-by-nd": ("cc by nd", "cc by nd(?: (?:1 0|2 0|2 5|3 0|4 0))?"),
-    "cc-by-nc-sa": ("cc by nc sa", "cc by nc sa(?: (?:1 0|2 0|2 5|3 0|4 0))?"),
-    "cc-by-nc-nd": ("cc by nc nd", "cc by nc nd(?: (?:1 0|2 0|2 5|3 0|4 0))?"),
-    "cc-by-name": ("creative commons", "creative commons attribution(?: (?:1 0|2 0|2 5|3 0|4 0))?(?: international| unported| generic)?"),
-    "cc-by-sa-name": ("creative commons", "creative commons attribution share ?alike(?: (?:1 0|2 0|2 5|3 0|4 0))?(?: international| unported| generic)?"),
-    "cc-by-nc-name": ("creative commons", "creative commons attribution non ?commercial(?: (?:1 0|2 0|2 5|3 0|4 0))?(?: international| unported| generic)?"),
-    "cddl-1.0": ("common development", f"common development and distribution licen[cs]e(?:{_V} 1(?: 0)?)?"),
-    "cecill-2.1": ("cecill", "cecill(?: 2 1)?"),
-    "cpl-1.0": ("common public", f"common public licen[cs]e(?:{_V} 1(?: 0)?)?"),
-    "ecl-2.0": ("educational community", f"educational community licen[cs]e(?:{_V} 2(?: 0)?)?"),
-    "epl-1.0": ("eclipse", f"eclipse public licen[cs]e{_V} 1(?: 0)?"),
-    "epl-2.0": ("eclipse", f"eclipse public licen[cs]e(?:{_V} 2(?: 0)?)?"),
-    "eupl-1.2": ("european union public", f"european union public licen[cs]e(?:{_V} 1 2)?"),
-    "gfdl": ("free documentation", f"gnu free documentation licen[cs]e(?:{_V} 1(?: [123])?)?{_LATER}"),
-    "gpl-2.0": ("gpl", f"gpl{_V} ?2(?: 0)?{_LATER}"),
-    "gpl-3.0": ("gpl", f"gpl{_V} ?3(?: 0)?{_LATER}"),
-    "gpl-2.0-name": ("general public", f"gnu general public licen[cs]e{_V} 2(?: 0)?{_LATER}"),
-    "gpl-3.0-name": ("general public", f"gnu general public licen[cs]e{_V} 3(?: 0)?{_LATER}"),
-    "gpl": ("general public", "(?:gnu )?general public licen[cs]e"),
-    "isc": ("isc", "isc licen[cs]e"),
-    "lgpl-2.1": ("lgpl", f"lgpl{_V} ?2(?: 1)?{_LATER}"),
-    "lgpl-3.0": ("lgpl", f"lgpl{_V} ?3(?: 0)?{_LATER}"),
-    "lgpl-name": ("lesser general", f"gnu lesser general public licen[cs]e(?:{_V} (?:2 1|3(?: 0)?))?{_LATER}"),
-    "mit": ("mit", "(?:the )?mit licen[cs]e"),
-    "mit-0": ("mit", "mit(?: 0| no attribution)(?: licen[cs]e)?"),
-    "mpl-1.1": ("mozilla", f"mozilla public licen[cs]e{_V} 1 1"),
-    "mpl-2.0": ("mozilla", f"mozilla public licen[cs]e(?:{_V} 2(?: 0)?)?"),
-    "ms-pl": ("microsoft", "microsoft public licen[cs]e"),
-    "ncsa": ("ncsa", "(?:university of illinois )?ncsa(?: open source)? licen[cs]e"),
-    "odbl-1.0": ("open database", f"open database licen[cs]e(?:{_V} 1(?: 0)?)?"),
-    "ofl-1.1": ("open font", f"(?:sil )?open font licen[cs]e(?:{_V} 1 1)?"),
-    "openssl": ("openssl", "openssl licen[cs]e"),
-    "postgresql": ("postgresql", "postgresql licen[cs]e"),
-    "psf-2.0": ("python software", f"python software foundation licen[cs]e(?:{_V} 2(?: 0)?)?"),
-    "unlicense": ("unlicense", "(?:the )?unlicense"),
-    "vim": ("vim", "vim licen[cs]e"),
-    "wtfpl": ("wtfpl", "wtfpl"),
-    "zlib": ("zlib", "zlib(?: libpng)? licen[cs]e"),
-}
-
-#: (priority, before the name, after it): how a text speaks of a license.
-FRAMES = (
-    (95, "(?:dual )?(?:re)?(?:licen[cs]ed|released|distributed|available|published|provided|redistributed|covered) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?", ""),
-    (85, "", " as published by(?: the)?"),
-    (80, "(?:see|subject to|governed by|refer to) (?:the )?(?:terms of )?(?:the )?", "(?: for (?:more )?details)?"),
-    (60, "", ""),
-)
-
-#: (label, keyword, pattern, priority): sentences of license texts and tags.
-SENTENCES = (
-    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy", 90),
-    ("isc", "permission to use copy", "permission to use copy modify and or distribute this software for any purpose", 90),
-    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted", 90),
-    ("bsd-3-clause", "endorse or promote", "neither the name of .{1,120}? may be used to endorse or promote products", 92),
-    ("apache-2.0", "apache org licenses", "apache org licenses license 2 0", 90),
-    ("gpl", "redistribute it", "redistribute it and or modify it under the terms of the gnu general public license", 90),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 92),
-    ("cc0-1.0", "publicdomain zero", "creativecommons org publicdomain zero 1 0", 90),
-    ("cc-by", "creativecommons org licenses", "creativecommons org licenses by (?:2 0|2 5|3 0|4 0)", 88),
-    ("cc-by-sa", "creativecommons org licenses", "creativecommons org licenses by sa (?:2 0|2 5|3 0|4 0)", 89),
-    ("cc-by-nc", "creativecommons org licenses", "creativecommons org licenses by nc (?:2 0|2 5|3 0|4 0)", 89),
-    ("zlib", "plainly marked", "altered source versions must be plainly marked as such", 88),
-    ("public-domain", "public domain", "(?:released|placed|dedicated)?(?: in| into| to)?(?: the)? public domain", 50),
-    ("proprietary", "all rights reserved", "copyright .{0,80}?all rights reserved", 40),
-    ("warranty-disclaimer", "without warranty", "(?:is provided |distributed )?as is without warranty of any kind", 30),
-)
-
-
-def rules() -> list[tuple[int, str, str, str, int]]:
-    """(order, label, keyword, pattern, priority) of every rule; patterns match whole words."""
-    out = []
-    for label, (keyword, name) in FAMILIES.items():
-        plain = label.removesuffix("-name")
-        out += [(plain, keyword, f"{before}(?:{name}){after}", priority) for priority, before, after in FRAMES]
-        if plain == label:
-            tag = label.replace("-", " ").replace(".", " ")
-            out.append((plain, "spdx", f"spdx license identifier {tag}(?: only| or later)?", 100))
-    out += SENTENCES
-    return [(i, label, keyword, f"(?<= )(?:{pattern})(?= )", priority) for i, (label, keyword, pattern, priority) in enumerate(out)]
-
-
-def _held(tree, most: int = 16) -> set[str]:
-    """Phrases of which every match of a parsed pattern holds one; the longest plain part, choices spelt out up to `most`."""
-    runs, best = {""}, {""}
-    for op, arg in tree:
-        if op is _constants.SUBPATTERN:
-            inner = _spelt(arg[3])
-        else:
-            inner = _spelt([(op, arg)])
-        if inner and len(inner) * len(runs) <= most:
-            runs = {x + y for x in runs for y in inner}
+
+def rules() -> list[tuple[int, str, list[tuple[str, str]], str, int]]:
+    """(order, label, keys, pattern, priority) of every rule; patterns match whole words. Each match holds, for one of the
+    keys, its phrase between blanks, and so its anchor, which is a word of the phrase."""
+    return [(i, label, keys(core), f"(?<= ){spelt(prefix)}(?:{spelt(core)})(?= )", priority) for i, (label, prefix, core, priority) in enumerate(written())]
+
+
+def spelt(pattern: str) -> str:
+    """The regular expression of a pattern with #n written out."""
+    return re.sub(r"#(\[\d+\]|\d+)", r"(?: version \1| v ?\1| \1)", pattern)
+
+
+def _parts(pattern: str) -> list[str]:
+    """The alternatives of a pattern, split outside its groups."""
+    out, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
         else:
-            best, runs = max(best, runs, key=lambda x: min(map(len, x))), {""}
-    return max(best, runs, key=lambda x: min(map(len, x)))
-
-
-def _spelt(tree) -> set[str]:
-    """All texts that a parsed pattern matches, if it has no repeats; else none."""
-    out = {""}
-    for op, arg in tree:
-        if op is _constants.LITERAL:
-            more = {chr(arg)}
-        elif op is _constants.IN and all(kind is _constants.LITERAL for kind, _ in arg):
-            more = {chr(c) for _, c in arg}
-        elif op is _constants.SUBPATTERN:
-            more = _spelt(arg[3])
-        elif op is _constants.BRANCH:
-            parts = [_spelt(x) for x in arg[1]]
-            more = set().union(*parts) if all(parts) else set()
+            out[-1] += c
+    return out
+
+
+def _items(pattern: str) -> list[tuple[str, str | bool, bool, bool]]:
+    """Plain characters ("c", it, ...), groups ("g", begins with a blank, ends with one, optional) and the rest ("u", ...)."""
+    out, i = [], 0
+    while i < len(pattern):
+        if pattern[i] == "(":
+            to, depth = i, 0
+            while True:
+                depth += (pattern[to] == "(") - (pattern[to] == ")")
+                to += 1
+                if not depth:
+                    break
+            inner = _parts(pattern[i + 3 : to - 1])
+            optional = pattern[to : to + 1] == "?"
+            out.append(("g", all(x[:1] in (" ", "#") for x in inner), all(x[-1:] == " " for x in inner), optional))
+            i = to + optional
+        elif m := re.match(r"#(?:\[\d+\]|\d+)", pattern[i:]):
+            out.append(("g", True, False, False))
+            i += len(m[0])
+        elif m := re.match(r"\.\{\d+,\d+\}\?|\[[^\]]*\]\??|.\?", pattern[i:]):
+            out.append(("u", False, False, False))
+            i += len(m[0])
         else:
-            more = set()
-        out = {x + y for x in out for y in more}
+            out.append(("c", pattern[i], False, False))
+            i += 1
     return out
 
 
-def gate() -> list[str]:
-    """Phrases of which every match of every rule holds one."""
-    patterns = [name for _, name in FAMILIES.values()] + [pattern for _, _, pattern, _ in SENTENCES]
-    found = set().union({"spdx license identifier"}, *(_held(_parser.parse(x)) for x in patterns))
-    return sorted(x for x in found if not any(y in x for y in found - {x}))
+def keys(pattern: str) -> list[tuple[str, str]]:
+    """(anchor, phrase) of each alternative: its longest run of plain whole words, and of these the longest that isn't USUAL."""
+
+    def bounded(items, k: int, step: int) -> bool:
+        if not 0 <= k < len(items):
+            return True
+        kind, first, last, optional = items[k]
+        if kind == "c":
+            return first == " "
+        return kind == "g" and bool(last if step < 0 else first) and (not optional or bounded(items, k + step, step))
+
+    out = set()
+    for part in _parts(pattern):
+        items = _items(part)
+        runs, k = [], 0
+        while k < len(items):
+            if items[k][0] != "c" or items[k][1] == " ":
+                k += 1
+                continue
+            to = k
+            while to < len(items) and items[to][0] == "c" and items[to][1] != " ":
+                to += 1
+            if bounded(items, k - 1, -1) and bounded(items, to, 1):
+                word = "".join(items[j][1] for j in range(k, to))
+                joined = runs and runs[-1][1] == k - 1 and items[k - 1][:2] == ("c", " ")
+                runs = [*runs[:-1], (runs[-1][0] + [word], to)] if joined else [*runs, ([word], to)]
+            k = to
+        best = max((r for r, _ in runs), key=lambda r: (max(w not in USUAL for w in r), len(" ".join(r))))
+        out.add((max(best, key=lambda w: (w not in USUAL, len(w), w)), f" {' '.join(best)} "))
+    return sorted(out)
 
 
 def normal(text: Column) -> Column:
@@ -174,26 +119,38 @@ def _blanks(x: str) -> str:
     return f"(length({x}) - length(replace({x}, ' ', '')))"
 
 
+_TYPE = "array<struct<s:int,e:int,p:int,i:int,label:string>>"
+
 #: Word intervals of one rule r in `norm`: each match is fenced, the text cut at the fences, and blanks are counted.
-_MATCHES = f"""aggregate(
-  slice(split(regexp_replace(norm, r.pattern, '\\u0001$0\\u0002'), '\\u0001'), 2, 1000000000),
-  named_struct('words', {_blanks("substring_index(regexp_replace(norm, r.pattern, '\\u0001$0\\u0002'), '\\u0001', 1)")}, 'found', cast(array() as array<struct<s:int,e:int,p:int,i:int,label:string>>)),
+_MATCHES = f"""transform(array(split(regexp_replace(norm, r.pattern, '\u0001$0\u0002'), '\u0001')), cut -> aggregate(
+  slice(cut, 2, 1000000000),
+  named_struct('words', {_blanks("cut[0]")}, 'found', cast(array() as {_TYPE})),
   (acc, x) -> named_struct(
     'words', acc.words + {_blanks("x")},
-    'found', concat(acc.found, array(named_struct('s', acc.words - 1, 'e', -(acc.words + {_blanks("substring_index(x, '\\u0002', 1)")}), 'p', -r.priority, 'i', r.i, 'label', r.label)))
+    'found', concat(acc.found, array(named_struct('s', acc.words - 1, 'e', -(acc.words + {_blanks("substring_index(x, '\u0002', 1)")}), 'p', -r.priority, 'i', r.i, 'label', r.label)))
   ),
   acc -> acc.found
-)"""
+))[0]"""
 
-_DETECTED = f"""array_sort(flatten(transform(filter(RULES, r -> contains(norm, r.keyword)), r -> {_MATCHES})))"""
+#: All intervals by start, the longest first; ends and priorities are held negative.
+_DETECTED = f"""array_sort(flatten(transform(filter(RULES, r -> exists(r.keys, k -> array_contains(present, k.anchor) and contains(norm, k.phrase))), r -> {_MATCHES})))"""
 
-_RESOLVED = """aggregate(
+#: Runs of detections that a chain of overlaps joins.
+_CLUSTERS = f"""aggregate(
   detected,
-  named_struct('e', 0, 'p', 0, 'best', 0, 'labels', cast(array() as array<string>)),
-  (acc, d) -> if(-d.e <= acc.e or (d.s < acc.e and -d.p < acc.p), acc,
-    named_struct('e', -d.e, 'p', -d.p, 'best', greatest(acc.best, -d.p), 'labels', array_union(acc.labels, array(d.label))))
+  named_struct('done', cast(array() as array<{_TYPE}>), 'own', cast(array() as {_TYPE}), 'e', 0),
+  (acc, d) -> if(d.s < acc.e,
+    named_struct('done', acc.done, 'own', concat(acc.own, array(d)), 'e', greatest(acc.e, -d.e)),
+    named_struct('done', if(size(acc.own) = 0, acc.done, concat(acc.done, array(acc.own))), 'own', array(d), 'e', -d.e)),
+  acc -> if(size(acc.own) = 0, acc.done, concat(acc.done, array(acc.own)))
 )"""
 
+_ACCEPTED = f"""flatten(transform(clusters, c -> aggregate(
+  array_sort(transform(c, d -> named_struct('p', d.p, 's', d.s, 'e', d.e, 'i', d.i, 'label', d.label))),
+  cast(array() as array<struct<p:int,s:int,e:int,i:int,label:string>>),
+  (acc, d) -> if(exists(acc, a -> (a.s <= d.s and a.e <= d.e) or (a.p < d.p and a.s < -d.e and d.s < -a.e)), acc, concat(acc, array(d)))
+)))"""
+
 
 def licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row, from the whole text.
@@ -201,14 +158,18 @@ def licenses(docs: DataFrame) -> DataFrame:
     n_base counts the places of the BASE phrases; first_word and last_word are the first and last of their start words,
     null without one. labels joins the base labels and those of the detections that stand; score is the highest priority
     of these over 100, at least 0.5 with a base phrase, else 0. Null and empty texts have no words and no labels.
-    Repeated rows are answered one by one, an empty table gives no rows, other columns are ignored. Nothing is shuffled.
+    Repeated rows and rows without a doc_id are answered one by one, an empty table gives no rows, other columns are ignored. Nothing is shuffled.
     """
     any_of = lambda words: " or ".join(f"contains(norm, '{w}')" for w in words)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text")).alias("norm"))
-    rows = rows.withColumn("has_base", F.expr(any_of(f" {p} " for p in BASE))).withColumn("gated", F.expr(any_of(gate())))
-    literal = "array(" + ", ".join(f"named_struct('i', {i}, 'label', '{label}', 'keyword', '{keyword}', 'pattern', '{pattern}', 'priority', {priority})" for i, label, keyword, pattern, priority in rules()) + ")"
-    rows = rows.withColumn("detected", F.expr(f"case when gated then {_DETECTED.replace('RULES', literal)} end"))
-    rows = rows.withColumn("detected", F.expr("coalesce(detected, cast(array() as array<struct<s:int,e:int,p:int,i:int,label:string>>))")).withColumn("kept", F.expr(_RESOLVED))
+    rows = rows.withColumn("has_base", F.expr(any_of(f" {p} " for p in BASE)))
+    every = rules()
+    known = sorted({anchor for _, _, keys, _, _ in every for anchor, _ in keys})
+    rows = rows.withColumn("present", F.expr(f"array_intersect(array({', '.join(map(repr, known))}), split(norm, ' '))"))
+    pairs = lambda keys: "array(" + ", ".join(f"named_struct('anchor', '{a}', 'phrase', '{p}')" for a, p in keys) + ")"
+    literal = "array(" + ", ".join(f"named_struct('i', {i}, 'label', '{label}', 'keys', {pairs(keys)}, 'pattern', '{pattern}', 'priority', {priority})" for i, label, keys, pattern, priority in every) + ")"
+    rows = rows.withColumn("detected", F.expr(f"coalesce(case when size(present) > 0 then {_DETECTED.replace('RULES', literal)} end, cast(array() as {_TYPE}))"))
+    rows = rows.withColumn("clusters", F.expr(_CLUSTERS)).withColumn("kept", F.expr(_ACCEPTED))
     base = F.array_compact(F.array(*(F.when(F.contains("norm", F.lit(f" {p} ")), F.lit(label)) for p, label in BASE.items())))
     before = lambda greedy: f"case when has_base then cast({_blanks(f'regexp_extract(norm, {chr(39)}(?s)^(.*{greedy}){BASE_PATTERN}{chr(39)}, 1)')} - 1 as bigint) end"
     return rows.withColumn("base", base).select(
@@ -218,6 +179,6 @@ def licenses(docs: DataFrame) -> DataFrame:
         F.expr(before("?")).alias("first_word"),
         F.expr(before("")).alias("last_word"),
         F.concat_ws(",", "base").alias("base_labels"),
-        F.concat_ws(",", F.array_sort(F.array_union("base", "kept.labels"))).alias("labels"),
-        F.greatest(F.when(F.size("base") > 0, F.lit(0.5)).otherwise(F.lit(0.0)), F.col("kept.best") / F.lit(100.0)).alias("score"),
+        F.concat_ws(",", F.array_sort(F.array_union("base", F.expr("transform(kept, d -> d.label)")))).alias("labels"),
+        F.greatest(F.when(F.size("base") > 0, F.lit(0.5)).otherwise(F.lit(0.0)), F.expr("coalesce(array_max(transform(kept, d -> -d.p)), 0) / 100D")).alias("score"),
     )
