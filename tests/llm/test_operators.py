@@ -459,21 +459,63 @@ def test_decontamination_against_brute_force(spark, edge, empty, docs):
 def pairs_by_rule(docs, items):
     """(doc, item) that count by the longest common subsequence around some passage, without any search."""
     want = set()
-    for d, text in docs:
-        w = words(text, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-        for i, t in items:
-            x, y = (words(z, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+") for z in (t, decontam.answer_of(t)))
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    texts = {d: words(text, pattern) for d, text in docs}
+    sets = [set(w) for w in texts.values()]
+    for i, t in items:
+        x, y = (words(z, pattern) for z in (t, decontam.answer_of(t)))
+        idf = {v: np.log((len(docs) + 1) / (sum(v in s for s in sets) + 1)) + 0.3 for v in x}
+        for d, w in texts.items():
             for b in range(0, max(len(w) - decontam.PASSAGE, 0) + decontam.STRIDE, decontam.STRIDE):
                 near = w[max(b - len(x), 0) : b + decontam.PASSAGE + len(x)]
                 masks: dict[str, int] = {}
                 for k, v in enumerate(near):
                     masks[v] = masks.get(v, 0) | 1 << k
                 lcs = decontam.common(x, masks, len(near)) / len(x)
-                if lcs >= 0.6 and (lcs >= 0.8 or decontam.common(y, masks, len(near)) / len(y) >= 0.6):
+                shared = sum(idf[v] for v in idf if v in masks)
+                told = shared >= decontam.NATS + np.log(len(docs) + 1) and shared >= decontam.TOLD * sum(idf.values())
+                if lcs >= 0.8 or lcs >= 0.6 and (told or decontam.common(y, masks, len(near)) / len(y) >= 0.6):
                     want.add((d, i))
     return want
 
 
+def test_decontamination_finds_reordered_and_reworded_items(spark, docs):
+    rng = random.Random(13)
+    vocabulary = [f"r{k}" for k in range(4000)]
+    usual = ["the", "of", "and", "to", "a", "in"]
+    sentence = lambda: " ".join(rng.choice(usual) if rng.random() < 0.4 else rng.choice(vocabulary) for _ in range(rng.randrange(9, 14)))
+    items = [(i, f"{sentence()}. {sentence()}. {sentence()}.") for i in range(60)]
+    noise = lambda n: " ".join(rng.choice(usual) if rng.random() < 0.4 else rng.choice(vocabulary) for _ in range(n))
+
+    def reworded(text, share):
+        return " ".join(w if rng.random() > share else rng.choice(vocabulary) for w in text.split())
+
+    rows, kinds = [], {}
+    for i, text in items:
+        parts = text.split(". ")
+        for kind, copy in enumerate((text, reworded(text, 0.2), ". ".join([parts[1], parts[0], parts[2]]), reworded(". ".join([parts[1], parts[0], parts[2]]), 0.1))):
+            kinds[len(rows)] = kind, i
+            rows.append((len(rows), f"{noise(rng.randrange(200))} {copy} {noise(rng.randrange(200))}"))
+    rows += [(1000 + k, noise(300)) for k in range(300)]
+    got = {(r.doc_id, r.item_id): r for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for kind in range(4):
+        of = [(d, i) for d, (k, i) in kinds.items() if k == kind]
+        assert sum(x in got for x in of) >= 0.9 * len(of), kind
+    assert set(got) <= {(d, i) for d, (_, i) in kinds.items()}
+    assert sum(r.cosine >= decontam.COSINE for r in got.values()) >= 0.9 * len(got)  # the latent search alone
+
+
+def test_decontamination_of_odd_rows(spark):
+    item = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, item), (1, "alpha beta gamma delta epsilon zeta eta theta iota"), (2, "cat"), (None, item + " eleven"), (3, None), (4, "?!")], "item_id long, text string")
+    rows = [(None, f"x {item} y", "s"), (5, f"x {item} y", "s"), (5, "the cat sat", None), (6, None, None), (7, "alpha beta gamma delta epsilon zeta eta theta iota", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cosine string")
+    got = sorted(str((r.doc_id, r.item_id, r.lcs >= 0.9)) for r in decontam.leaks(docs, bench).collect())
+    assert got == sorted(map(str, [(None, 1, True), (5, 1, True), (7, 1, True), (None, None, True), (5, None, True)]))
+    left = decontam.without_leaks(docs, bench)
+    assert left.columns == docs.columns and sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, [rows[2], rows[3]]))
+
+
 def test_decontamination_finds_items_of_common_words(spark):
     rng = random.Random(6)
     usual, rare = [f"u{k}" for k in range(150)], [f"r{k}" for k in range(3000)]
@@ -487,7 +529,7 @@ def test_decontamination_finds_items_of_common_words(spark):
     want = pairs_by_rule(docs, items)
     assert {(k, k % 29) for k in range(90)} | {(k, 29) for k in range(100, 220)} <= want
     got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    assert {(r.doc_id, r.item_id) for r in got.where("lcs >= 0.6").collect()} == want and got.where("lcs < 0.6").isEmpty()
 
 
 def test_decontamination_finds_paraphrases(spark):
@@ -500,7 +542,7 @@ def test_decontamination_finds_paraphrases(spark):
         docs.append((k, " ".join([*(f"y{rng.randrange(99)}" for _ in range(rng.randrange(90))), *copy, *(f"z{rng.randrange(99)}" for _ in range(rng.randrange(90)))])))
     want = pairs_by_rule(docs, items)
     got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert len(want) > 80 and {(r.doc_id, r.item_id) for r in got.collect()} == want
+    assert len(want) > 80 and {(r.doc_id, r.item_id) for r in got.where("lcs >= 0.6").collect()} == want
 
 
 def test_lcs_by_bits():
