@@ -13,9 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.llm.labelled import chance
+
 SAMPLES = 32
-#: Text bytes that a bucket of neighbouring documents aims at, and the most buckets.
-BUCKET_BYTES, BUCKETS = 4 << 20, 10_000
+#: Text bytes that a bucket of neighbouring documents aims at, at least; it grows with the root of the table (320 MB at 100 TB),
+#: and so does the number of buckets. Rows per bucket that are sampled to find its bounds.
+BUCKET_BYTES, ROOT_BYTES, SAMPLED = 4 << 20, 32, 20
 DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -27,7 +30,7 @@ def terms(text: Column) -> Column:
 
 
 def sample(term: str, log_weight: str, k: int) -> Column:
-    """The term's candidate for sample k: 31 bits of ln a, then 32 bits that name (term, t)."""
+    """The term's candidate for sample k: 31 bits of ln a, then 32 bits that name (term, t); t stays below 2^28."""
     g, h = f"xxhash64({term}, {2 * k})", f"xxhash64({term}, {2 * k + 1})"
     unit = lambda x, shift: f"((((shiftrightunsigned({x}, {shift}) & 16777215L) + 0.5D) / 16777216D))"
     r = f"(-ln({unit(g, 0)} * {unit(g, 24)}))"
@@ -35,7 +38,7 @@ def sample(term: str, log_weight: str, k: int) -> Column:
     b = f"((shiftrightunsigned({g}, 48) + 0.5D) / 65536D)"
     t = f"floor({log_weight} / {r} + {b})"
     a = f"ln({c}) - {r} * ({t} - {b} + 1D)"
-    return F.expr(f"shiftleft(cast(({a} + 100D) * 16777216D as bigint), 32) | (xxhash64({term}, {t}) & 4294967295L)")
+    return F.expr(f"shiftleft(cast(({a} + 100D) * 16777216D as bigint), 32) | (({term} & 4294967295L) + {t} * 2654435761L & 4294967295L)")
 
 
 def signatures(weighted: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,31 +53,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The next document is that with the next smaller doc_id, after the last one the first. The edited text has the last
     floor(n_chars / 2) code points replaced by as many from the start of the next document, or all it has. A fingerprint
     is SAMPLES numbers of 8 hex digits; a likeness is the share of equal ones. Null texts count as empty; texts without
-    words are alike only where they are equal. Rows of one doc_id follow each other by text, equal rows stay apart.
+    words are alike only where they are equal. Rows of one doc_id follow each other by a hash of their texts, equal rows stay apart.
     A lone document is its own next one; an empty table gives no rows; other columns are ignored.
 
     Documents are dealt to buckets of neighbouring ids, and each bucket gets a copy of the document that follows it; from
-    then on every step finds its rows in place, so texts are shuffled once.
+    then on every step finds its rows in place, so texts are shuffled once. Rows without a doc_id follow all others. Only
+    equal rows, which have equal neighbours, can't be dealt to different buckets.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    wanted = int(min(BUCKETS, max(1, size // BUCKET_BYTES)))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 10 * BUCKETS)).first()[0] if wanted > 1 else []
-    cuts = sorted(set(cuts or []))
-    bucket = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda x: x < F.col("doc_id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("bucket", bucket)
-
-    # the first document of each bucket stands once more behind the bucket above it: at most BUCKETS rows
-    firsts = rows.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).orderBy("bucket").collect()
-    follow = [(firsts[i].bucket, firsts[i - 1].doc_id) for i in range(len(firsts))]
+    rows = rows.withColumn("key", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("mark")))
+    cuts = bounds(rows)
+    # the number of bounds below the key, by halving
+    found = f"aggregate(sequence(1, {max(len(cuts), 1).bit_length()}), named_struct('a', 0, 'b', {len(cuts)}), (x, i) -> if(x.a >= x.b, x, if(cuts[(x.a + x.b) div 2] < key, named_struct('a', cast((x.a + x.b) div 2 + 1 as int), 'b', x.b), named_struct('a', x.a, 'b', cast((x.a + x.b) div 2 as int)))), x -> x.a)"
+    literal = "from_json('[" + ",".join(f'{{"id":{i},"mark":{m}}}' for i, m in cuts) + "]', 'array<struct<id:bigint,mark:bigint>>')"
+    rows = rows.withColumn("bucket", F.expr(found.replace("cuts[", f"{literal}[")) if cuts else F.lit(0))
+
+    # the first document of each bucket stands once more behind the bucket above it: a row for each bucket
+    firsts = rows.groupBy("bucket").agg(F.max("key").alias("key")).orderBy("bucket").collect()
+    follow = [(firsts[i].bucket, firsts[i - 1].key) for i in range(len(firsts))]
     if follow:
-        after = spark.createDataFrame(follow, "bucket int, doc_id bigint")
-        texts = rows.select("doc_id", "text").join(F.broadcast(after), "doc_id").groupBy("bucket", "doc_id").agg(F.max("text").alias("text"))
-        rows = rows.select(F.lit(0).alias("extra"), "bucket", "doc_id", "text").unionByName(texts.select(F.lit(1).alias("extra"), "bucket", "doc_id", "text"))
+        after = spark.createDataFrame(follow, "bucket int, key struct<id:bigint,mark:bigint>")
+        texts = rows.select("doc_id", "key", "text").join(F.broadcast(after), "key").groupBy("bucket", "doc_id", "key").agg(F.max("text").alias("text"))
+        rows = rows.select(F.lit(0).alias("extra"), "bucket", "doc_id", "key", "text").unionByName(texts.select(F.lit(1).alias("extra"), "bucket", "doc_id", "key", "text"))
     else:
-        rows = rows.select(F.lit(0).alias("extra"), "bucket", "doc_id", "text")
-    order = Window.partitionBy("bucket").orderBy("extra", F.desc("doc_id"), F.desc("text"))
+        rows = rows.select(F.lit(0).alias("extra"), "bucket", "doc_id", "key", "text")
+    order = Window.partitionBy("bucket").orderBy("extra", F.desc("key"), F.desc("text"))
     near = (
         rows.withColumn("at", F.row_number().over(order))
         .withColumn("next", F.lead("text").over(order))
@@ -97,6 +101,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next").alias("near_next"))
 
 
+def bounds(rows: DataFrame) -> list[tuple[int, int]]:
+    """Keys that cut the rows into buckets of about equal bytes, from a sample of SAMPLED rows a bucket; they only balance."""
+    stats = rows.agg(F.sum(F.octet_length("text") + 64).alias("size"), F.count("*").alias("n")).first()
+    size, n = stats.size or 0, stats.n
+    wanted = int(size // max(BUCKET_BYTES, ROOT_BYTES * int(size**0.5)))
+    if wanted < 2:
+        return []
+    part = min(1.0, SAMPLED * wanted / n)
+    some = rows.where(chance("key.id", "key.mark") < part) if part < 1 else rows
+    sampled = sorted((r.id, r.mark, r.bytes) for r in some.select("key.id", "key.mark", (F.octet_length("text") + 64).alias("bytes")).groupBy("id", "mark").agg(F.sum("bytes").alias("bytes")).collect())
+    total, seen, out = sum(b for _, _, b in sampled), 0, []
+    for i, mark, b in sampled:
+        seen += b
+        if seen * wanted >= total * (len(out) + 1) and len(out) < wanted - 1:
+            out.append((i, mark))
+    return out
+
+
 def likeness(a: str, b: str) -> Column:
     """Share of equal samples of two fingerprints."""
     return sum((F.substring(a, 8 * k + 1, 8) == F.substring(b, 8 * k + 1, 8)).cast("int") for k in range(SAMPLES)) / F.lit(float(SAMPLES))

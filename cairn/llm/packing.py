@@ -139,11 +139,11 @@ def _pack(ranks: str, pattern: str, length: int, end_id: int):
         ends = np.insert((place + w).astype(np.int32), bound[:-1], 0)
         lists = lambda x, b, t: pa.ListArray.from_arrays(pa.array(b.astype(np.int32)), pa.array(x.astype(t)))
         shard = table.column("shard")[0].as_py()
-        doc_id = table.column("doc_id").to_numpy()
+        doc_id = table.column("doc_id").combine_chunks()
         return pa.table({
             "shard": pa.array([shard] * n_rows, pa.int32()), "row": pa.array(np.arange(n_rows, dtype=np.int32)), "n_tokens": pa.array(filled),
             "ids": pa.Array.from_buffers(pa.binary(), n_rows, [None, pa.py_buffer((np.arange(n_rows + 1) * length * 4).astype(np.int32)), pa.py_buffer(matrix)]),
-            "cu_seqlens": lists(ends, bound + np.arange(n_rows + 1), np.int32), "doc_ids": lists(doc_id[d], bound, np.int64),
+            "cu_seqlens": lists(ends, bound + np.arange(n_rows + 1), np.int32), "doc_ids": pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), doc_id.take(pa.array(d))),
             "doc_offsets": lists(o, bound, np.int32), "position_starts": lists(place, bound, np.int32),
         })
 
@@ -156,14 +156,15 @@ def pack(docs: DataFrame, ranks: str, length: int = 2048, end_id: int = 50256, p
     `ids` holds `length` little-endian 32-bit ids, filled up with `end_id` after n_tokens. cu_seqlens has 0 and each segment's
     end; position_starts is where positions start again from 0; doc_ids and doc_offsets say which document's tokens, from
     which of them on, a segment holds. Each document is its tokens and `end_id`, so null and empty texts are one token.
-    Repeated rows are packed as often as they stand. The layout depends on the rows alone, not on how they are
-    partitioned. An empty table gives no rows; other columns are ignored.
+    Repeated rows are packed as often as they stand, and a row without a doc_id has null there. Rows are dealt to shards by
+    a hash of the row and of its input partition, so that copies of one row don't meet in one task; the layout is the same
+    whenever the same files are read in the same splits. An empty table gives no rows; other columns are ignored.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(shards)).cast("int"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInArrow(_pack(ranks, pattern, length, end_id), SCHEMA)
 
 

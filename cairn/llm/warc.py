@@ -22,6 +22,8 @@ from cairn.session import shared_dir, ship
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Bytes of archives that one partition reads, unless a single file is larger.
 PARTITION_BYTES = 32 << 20
+#: Digests of repeated payloads that may be broadcast: some 100 bytes each, so at most about 20 MB.
+BROADCAST_DIGESTS = 200_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 SCHEMA = "page_id bigint, record_type string, url string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
 
@@ -40,13 +42,15 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, url, html, payload_bytes, payload_digest, refers_to) of the records to write; refers_to is null in responses.
 
     Of the pages whose payloads are equal and of at least `least` bytes, the one with the smallest page_id is the
-    response. The join is on narrow rows of repeated payloads only; a payload that a third of the pages share is summed up
-    before the shuffle, and Spark splits its rows in the join.
+    response. Digests are counted on narrow rows, summed up before the shuffle; those that repeat are broadcast if there are
+    few, else the pages are shuffled by digest, and Spark splits a digest that many of them share.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", sha1_base32(F.col("html")))
     repeated = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("payload_digest", "first")
     near = (F.col("payload_bytes") >= least) & (F.col("page_id") > F.col("first"))
+    if repeated.count() <= BROADCAST_DIGESTS:  # then no payload is shuffled
+        repeated = F.broadcast(repeated)
     return rows.join(repeated, "payload_digest", "left").select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(near, F.col("first")).alias("refers_to"))
 
 
@@ -121,27 +125,39 @@ class Stream:
         return b"".join(parts)
 
 
+    def until_next(self) -> bytes:
+        """The block of a record that doesn't tell its length: up to the next record or the end."""
+        while (to := self.buffer.find(b"\r\n\r\nWARC/", self.at)) < 0:
+            if not self.more():
+                out, self.at = self.buffer[self.at :].removesuffix(b"\r\n\r\n"), len(self.buffer)
+                return out
+        out, self.at = self.buffer[self.at : to], to + 4
+        return out
+
+
 def parse(stream: Stream, wanted, payload: bool) -> Iterator[tuple]:
-    """Rows of SCHEMA for the records that `wanted` lets pass; only their payloads are read, if at all."""
+    """Rows of SCHEMA for the records that `wanted` lets pass; only their payloads are read, if at all.
+
+    A record without a length reaches to the next one; header bytes that aren't UTF-8 are replaced.
+    """
     while (head := stream.head()) is not None:
-        lines = head.lstrip(b"\r\n").decode("utf-8").split("\r\n")
+        lines = head.lstrip(b"\r\n").decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
         h = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        n = int(h["content-length"])
+        size = h.get("content-length", "")
+        n = int(size) if size.isdigit() else None
         number = lambda x: int(m[1]) if (m := re.match(r"<urn:page:(-?\d+)>", h.get(x, ""))) else None
         size = h.get("x-payload-length")
         row = {"page_id": number("warc-record-id"), "record_type": h.get("warc-type"), "url": h.get("warc-target-uri"), "payload_bytes": int(size) if size else None, "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:") or None, "refers_to": number("warc-refers-to")}
-        if not wanted(row):
-            stream.skip(n + 4)
-            continue
-        body = None
-        if payload and row["record_type"] == "response":
-            body = stream.take(n).partition(b"\r\n\r\n")[2]
-            stream.skip(4)
-        else:
-            stream.skip(n + 4)
-        yield (*row.values(), body)
+        block = stream.until_next() if n is None else None
+        keep = wanted(row)
+        decode = keep and payload and row["record_type"] == "response"
+        if n is not None:
+            block = stream.take(n) if decode else None
+            stream.skip(4 if decode else n + 4)
+        if keep:
+            yield (*row.values(), block.partition(b"\r\n\r\n")[2] if decode else None)
 
 
 class Files(InputPartition):
