@@ -78,7 +78,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         rows = rows.select(F.lit(0).alias("extra"), "bucket", "doc_id", "key", "text").unionByName(texts.select(F.lit(1).alias("extra"), "bucket", "doc_id", "key", "text"))
     else:
         rows = rows.select(F.lit(0).alias("extra"), "bucket", "doc_id", "key", "text")
-    order = Window.partitionBy("bucket").orderBy("extra", F.desc("key"), F.desc("text"))
+    # the id decides nothing; with it both users of the buckets ask for the same columns and share one shuffle
+    order = Window.partitionBy("bucket").orderBy("extra", F.desc("key"), F.desc("text"), "doc_id")
     near = (
         rows.withColumn("at", F.row_number().over(order))
         .withColumn("next", F.lead("text").over(order))

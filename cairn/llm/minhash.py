@@ -110,6 +110,17 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return shared.select("a", "b", "shared", (F.col("both") - F.col("shared")).alias("united"))
 
 
+def stage_of(table: DataFrame, name: str, done: list[DataFrame]) -> DataFrame:
+    done.append(stage(table, name))
+    return done[-1]
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """The rows, to be broadcast if there are at most BROADCAST_IDS (of some 20 bytes), so that what they are joined with isn't
+    dealt by their key."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def _blocks(full: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes beside one hub that no bound rules out and that aren't known to lie in one component.
 
@@ -117,7 +128,7 @@ def _blocks(full: DataFrame, percent: int) -> DataFrame:
     by a hash, and a part of one side meets each part of the other as a group of its own.
     """
     size = full.groupBy("hub").agg(F.count(F.when(F.col("comp") != F.col("main"), 1)).alias("n_p"), F.count("*").alias("n_q"))
-    parts = size.select("hub", F.expr(f"int(ceil(n_p / {SIDE}))").alias("parts_p"), F.expr(f"int(ceil(n_q / {SIDE}))").alias("parts_q"))
+    parts = few(size.select("hub", F.expr(f"int(ceil(n_p / {SIDE}))").alias("parts_p"), F.expr(f"int(ceil(n_q / {SIDE}))").alias("parts_q")))
     rows = full.join(parts, "hub").withColumn("part", F.xxhash64("rep"))
     p = rows.where("comp <> main").withColumn("i", F.expr("int(pmod(part, parts_p))")).withColumn("j", F.explode(F.expr("sequence(0, parts_q - 1)"))).alias("p")
     q = rows.withColumn("j", F.expr("int(pmod(part, parts_q))")).withColumn("i", F.explode(F.expr("sequence(0, parts_p - 1)"))).alias("q")
@@ -163,8 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = stage(crowded.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
 
     involved = crowded.select(F.col("rep").alias("doc_id")).distinct()
-    few = involved.count() <= BROADCAST_IDS
-    texts = base.join(F.broadcast(involved) if few else involved, "doc_id", "left_semi")
+    texts = base.join(few(involved), "doc_id", "left_semi")
     sets = stage(texts.mapInArrow(_sets(width), "doc_id bigint, k1 bigint, k2 bigint, shingles array<bigint>, n bigint, lost bigint, bits array<bigint>"), "sets")
     done += [member, crowded, pairs, sets]
     if repeated:
@@ -182,10 +192,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = star.unionByName(star.select("hub", F.col("hub").alias("rep"), F.lit(0.0).alias("far")).distinct())
     at = star.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = at.groupBy("hub").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 2").select("hub")
-    apart = stage(at.join(mixed, "hub"), "apart")
+    apart = stage(at.join(few(stage_of(mixed, "mixed", done)), "hub"), "apart")
     main = apart.groupBy("hub", "comp").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"))
     maps = sets.select(F.col("doc_id").alias("rep"), "n", "lost", "bits")
-    full = stage(apart.join(maps, "rep").join(main, "hub"), "bitmaps")
+    full = stage(apart.join(maps, "rep").join(few(stage_of(main, "main", done)), "hub"), "bitmaps")
     rest = _blocks(full, int(percent)).join(pairs, ["a", "b"], "left_anti")
     more = stage(_confirm(rest, sets).where(near).select("a", "b"), "linked")
     done += [scored, comp, apart, full, more]
