@@ -1,9 +1,10 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-A text is a set of terms (its words, A-Z lower-cased) weighted by their counts. Sample k of a text draws, from hashes of
-each term and k, r and c ~ Gamma(2, 1) and b ~ U(0, 1); with t = floor(ln(weight) / r + b) the sample is the pair
-(term, t) whose ln a = ln c - r * (t - b + 1) is least. Two texts agree in a sample with the probability of their
-generalised Jaccard similarity, sum of least weights over sum of greatest.
+A text is a set of terms (its words, A-Z lower-cased) weighted by their counts. Sample k of a text draws, from a hash of each
+term and k, r and c ~ Gamma(2, 1) and b ~ U(0, 1); with t = floor(ln(weight) / r + b) the sample is the pair (term, t) whose
+ln a = ln c - r * (t - b + 1) is least. Two texts agree in a sample with the probability of their generalised Jaccard
+similarity, sum of least weights over sum of greatest. Of the hash's bits r has 16 and b 8, as they only scale; c, whose
+least values decide, has 40.
 
 The least value and its pair are packed into one long, so a sample is a plain minimum and aggregates in place.
 """
@@ -31,13 +32,11 @@ def terms(text: Column) -> Column:
 
 def sample(term: str, log_weight: str, k: int) -> Column:
     """The term's candidate for sample k: 31 bits of ln a, then 32 bits that name (term, t); t stays below 2^28."""
-    g, h = f"xxhash64({term}, {2 * k})", f"xxhash64({term}, {2 * k + 1})"
-    unit = lambda x, shift: f"((((shiftrightunsigned({x}, {shift}) & 16777215L) + 0.5D) / 16777216D))"
-    r = f"(-ln({unit(g, 0)} * {unit(g, 24)}))"
-    c = f"(-ln({unit(h, 0)} * {unit(h, 24)}))"
-    b = f"((shiftrightunsigned({g}, 48) + 0.5D) / 65536D)"
+    z = f"xxhash64({term}, {k})"
+    unit = lambda shift, bits: f"(((shiftrightunsigned({z}, {shift}) & {(1 << bits) - 1}L) + 0.5D) / {1 << bits}D)"
+    r, b = f"(-ln({unit(56, 8)} * {unit(48, 8)}))", unit(40, 8)
     t = f"floor({log_weight} / {r} + {b})"
-    a = f"ln({c}) - {r} * ({t} - {b} + 1D)"
+    a = f"ln(-ln({unit(20, 20)} * {unit(0, 20)})) - {r} * ({t} - {b} + 1D)"
     return F.expr(f"shiftleft(cast(({a} + 100D) * 16777216D as bigint), 32) | (({term} & 4294967295L) + {t} * 2654435761L & 4294967295L)")
 
 
@@ -65,9 +64,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("key", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("mark")))
     cuts = bounds(rows)
     # the number of bounds below the key, by halving
-    found = f"aggregate(sequence(1, {max(len(cuts), 1).bit_length()}), named_struct('a', 0, 'b', {len(cuts)}), (x, i) -> if(x.a >= x.b, x, if(cuts[(x.a + x.b) div 2] < key, named_struct('a', cast((x.a + x.b) div 2 + 1 as int), 'b', x.b), named_struct('a', x.a, 'b', cast((x.a + x.b) div 2 as int)))), x -> x.a)"
-    literal = "from_json('[" + ",".join(f'{{"id":{i},"mark":{m}}}' for i, m in cuts) + "]', 'array<struct<id:bigint,mark:bigint>>')"
-    rows = rows.withColumn("bucket", F.expr(found.replace("cuts[", f"{literal}[")) if cuts else F.lit(0))
+    ids, marks = (f"cast(split('{','.join(str(c[j]) for c in cuts)}', ',') as array<bigint>)" for j in (0, 1))
+    below = f"({ids}[(x.a + x.b) div 2] < key.id or ({ids}[(x.a + x.b) div 2] = key.id and {marks}[(x.a + x.b) div 2] < key.mark))"
+    found = f"aggregate(sequence(1, {max(len(cuts), 1).bit_length()}), named_struct('a', 0, 'b', {len(cuts)}), (x, i) -> if(x.a >= x.b, x, if({below}, named_struct('a', cast((x.a + x.b) div 2 + 1 as int), 'b', x.b), named_struct('a', x.a, 'b', cast((x.a + x.b) div 2 as int)))), x -> x.a)"
+    rows = rows.withColumn("bucket", F.expr(found) if cuts else F.lit(0))
 
     # the first document of each bucket stands once more behind the bucket above it: a row for each bucket
     firsts = rows.groupBy("bucket").agg(F.max("key").alias("key")).orderBy("bucket").collect()

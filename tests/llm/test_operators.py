@@ -434,9 +434,9 @@ def test_fingerprints(spark, edge, empty, docs, monkeypatch):
             signed = term - (1 << 64) if term >> 63 else term
             log_weight = float(np.log(w.count(x)))
             for k in range(fingerprint.SAMPLES):
-                g, q = (h(struct.pack("<i", j), long_hash(signed, 42)) for j in (2 * k, 2 * k + 1))
-                unit = lambda z, shift: ((z >> shift & 16777215) + 0.5) / 16777216
-                r, c, b = -np.log(unit(g, 0) * unit(g, 24)), -np.log(unit(q, 0) * unit(q, 24)), ((g >> 48) + 0.5) / 65536
+                z = h(struct.pack("<i", k), long_hash(signed, 42))
+                unit = lambda shift, bits: ((z >> shift & (1 << bits) - 1) + 0.5) / (1 << bits)  # noqa: E731, B023
+                r, b, c = -np.log(unit(56, 8) * unit(48, 8)), unit(40, 8), -np.log(unit(20, 20) * unit(0, 20))
                 t = int(np.floor(log_weight / r + b))
                 name = (term & 0xFFFFFFFF) + t * 2654435761 & 0xFFFFFFFF
                 value = int((np.log(c) - r * (t - b + 1) + 100) * 16777216) << 32 | name
