@@ -72,7 +72,7 @@ def glob_regex(pattern: str, ignore_case: bool = False) -> tuple[str, bool, bool
     """
     text = pattern.replace("\\", "/")
     only_dirs = text.endswith("/")
-    text = text.rstrip("/") if only_dirs else text
+    text = text[:-1] if only_dirs else text  # one slash alone; a rule of nothing else is dropped by its readers
     special = set(r"\.[]{}()+^$|-&~#")
     body = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else f"\\{c}" if c in special else c for c in text)
     return ("(?i)" if ignore_case else "") + rf"\A{body}\z", "/" in text, only_dirs
@@ -83,6 +83,8 @@ def ignored(rules: list[str], path: Column | str, is_dir: Column, ignore_case: b
     p = F.translate(_col(path), "\\", "/")
     out = F.lit(False)
     for rule in rules:
+        if rule in ("/", "\\"):
+            continue
         regex, whole, only_dirs = glob_regex(rule, ignore_case)
         hit = (p if whole else entry_name(p)).rlike(regex)
         out = out | (hit & is_dir if only_dirs else hit)
@@ -95,3 +97,52 @@ def scan_decision(hidden: Column, cloud: Column, mount: Column, reparse: Column,
         F.when(hidden & F.lit(skip_hidden), "skip").when(cloud, "warn:cloud_placeholder").when(mount, "warn:volume_mount_point")
         .when(reparse, "warn:unsupported_reparse_point").when(boundary & F.lit(one_file_system), "warn:filesystem_boundary").when(link, "capture_link").otherwise("capture")
     )
+
+
+#: Types of entries in the order of their codes.
+ENTRY_TYPES = ("file", "directory", "symlink")
+STATUSES = ("pending", "complete", "failed", "cancelled", "deleting")
+
+# fixed values: names that file systems go by
+NETWORK = ["nfs", "nfs4", "smb", "smb2", "smb3", "smbfs", "cifs", "9p", "afs", "coda", "ncp", "ncpfs", "davfs", "davfs2", "drive_remote", "fuse.rclone", "fuse.s3fs", "fuse.gcsfuse"]
+FAT = ["fat", "fat12", "fat16", "fat32", "vfat", "msdos", "msdosfs", "exfat"]
+LOCAL = ["ext2", "ext3", "ext4", "xfs", "btrfs", "zfs", "apfs", "hfs", "hfsplus", "ufs", "ntfs", "refs", "tmpfs", "ramfs", "overlay", "aufs"]
+
+
+def encode_enum(value: Column | str, values: tuple[str, ...]) -> Column:
+    """The code of a name, null for an unknown one."""
+    c = _col(value)
+    return F.coalesce(*(F.when(c == v, F.lit(i)) for i, v in enumerate(values)))
+
+
+def decode_enum(code: Column | str, values: tuple[str, ...]) -> Column:
+    """The name of a code, null for an unknown one."""
+    return F.get(F.array(*(F.lit(v) for v in values)), _col(code).cast("int"))
+
+
+def narrowed(value: Column | str, least: int, most: int) -> Column:
+    """The value if it lies within the bounds, else null: what a narrower type can't hold is never cut off."""
+    c = _col(value)
+    return F.when((c >= least) & (c <= most), c)
+
+
+def is_utf8(data: Column | str) -> Column:
+    """Whether a binary column is valid UTF-8; null stays null."""
+    return F.is_valid_utf8(_col(data).cast("string"))
+
+
+def filesystem_class(name: Column | str) -> Column:
+    """network, fat, local or unknown, by the name of a file system in any case."""
+    c = F.lower(_col(name))
+    return F.when(c.isin(NETWORK) | F.contains(c, F.lit("sshfs")), "network").when(c.isin(FAT), "fat").when(c.isin(LOCAL), "local").otherwise("unknown")
+
+
+def filesystem_policy(kind: Column | str, allow_risky: bool = False) -> Column:
+    """allow, warn or refuse for a repository on a file system of a class."""
+    c = _col(kind)
+    return F.when(c == "network", F.lit("allow" if allow_risky else "refuse")).when(c == "fat", "warn").otherwise("allow")
+
+
+def most_stored(chunk_size: int) -> int:
+    """Bytes that a stored chunk may have at most: incompressible data grows a little."""
+    return chunk_size + chunk_size // 8 + (64 << 10)

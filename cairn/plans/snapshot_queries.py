@@ -218,16 +218,26 @@ def fk_violations(spark, sf_dir):
     return a.unionByName(b).withColumnRenamed("violation", "child")
 
 
-@_query("""
-, c AS (SELECT chunk_hash AS hash, min(raw_length) AS raw_size FROM vchunk WHERE snapshot_id <= 2 GROUP BY 1)
-SELECT 'reference without chunk' AS violation, count(*)::BIGINT AS n FROM vchunk v WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.hash = v.chunk_hash)
-UNION ALL SELECT 'reference without entry', count(*) FROM vchunk v WHERE NOT EXISTS (SELECT 1 FROM ventry e WHERE e.snapshot_id = v.snapshot_id AND e.relative_path = v.relative_path)
-UNION ALL SELECT 'file without hash', count(*) FROM ventry WHERE entry_type = 'file' AND file_hash IS NULL
+_MOVED = "CASE WHEN snapshot_id = 3 AND relative_path LIKE 'de/src1/%' THEN 5 ELSE snapshot_id END"
+
+
+@_query(f"""
+, c AS (SELECT chunk_hash AS hash, min(raw_length) AS raw_size FROM vchunk WHERE snapshot_id <= 2 GROUP BY 1),
+e AS (SELECT * REPLACE ({_MOVED} AS snapshot_id) FROM ventry), w AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 2 END AS snapshot_id FROM documents WHERE doc_id % 11 = 0)
+SELECT 'unfinished snapshot' AS violation, count(*)::BIGINT AS n FROM snapshots WHERE status IN ('pending', 'deleting')
+UNION ALL SELECT 'entry of a failed snapshot', count(*) FROM e JOIN snapshots s ON s.id = e.snapshot_id WHERE s.status IN ('failed', 'cancelled')
+UNION ALL SELECT 'warning of a failed snapshot', count(*) FROM w JOIN snapshots s ON s.id = w.snapshot_id WHERE s.status IN ('failed', 'cancelled')
+UNION ALL SELECT 'file without hash', count(*) FROM e JOIN snapshots s ON s.id = e.snapshot_id WHERE s.status = 'complete' AND e.entry_type = 'file' AND (e.file_hash IS NULL OR length(e.file_hash) <> 64)
+UNION ALL SELECT 'reference without chunk', count(*) FROM vchunk v WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.hash = v.chunk_hash)
+UNION ALL SELECT 'reference without entry', count(*) FROM vchunk v WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.snapshot_id = v.snapshot_id AND e.relative_path = v.relative_path)
+UNION ALL SELECT 'entry without snapshot', count(*) FROM e WHERE NOT EXISTS (SELECT 1 FROM snapshots s WHERE s.id = e.snapshot_id)
 UNION ALL SELECT 'unsafe path', 0 UNION ALL SELECT 'bad chunk', count(*) FROM c WHERE raw_size <= 0""")
 def relationship_check(spark, sf_dir):
     v = vchunks(spark, sf_dir)
     c = v.where("snapshot_id <= 2").groupBy(F.col("chunk_hash").alias("hash")).agg(F.min("raw_length").alias("raw_size"))
-    return integrity.relationship_check(ventries(spark, sf_dir), v, c)
+    e = ventries(spark, sf_dir).withColumn("snapshot_id", F.expr(_MOVED).cast("long"))
+    w = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 11 = 0").select(F.expr("if(doc_id % 3 = 0, 5L, 2L)").alias("snapshot_id"))
+    return integrity.relationship_check(snapshots(spark), e, w, v, c)
 
 
 @_query("SELECT id, status FROM snapshots WHERE status = 'complete' ORDER BY created_at_ns DESC, id DESC")

@@ -14,6 +14,8 @@ from cairn.functions.paths import glob_regex
 from cairn.session import ship
 
 IGNORE_FILE = ".cairnignore"
+#: Partitions that a scan aims at.
+SPLIT = 64
 SCHEMA = (
     "kind string, relative_path string, parent_path string, name string, entry_type string, logical_size bigint, modified_time_ns bigint, "
     "change_time_ns bigint, posix_mode bigint, symlink_target string, device bigint, inode bigint, code string, message string"
@@ -33,7 +35,7 @@ def read_rules(root: str, explicit: str | None = None) -> list[str]:
 class Rules:
     def __init__(self, rules: list[str], ignore_case: bool = False) -> None:
         flags = re.IGNORECASE | re.ASCII if ignore_case else 0
-        self.rules = [(re.compile(rx[2:-2], flags), whole, dirs) for rx, whole, dirs in (glob_regex(r) for r in rules)]
+        self.rules = [(re.compile(rx[2:-2], flags), whole, dirs) for rx, whole, dirs in (glob_regex(r) for r in rules if r not in ("/", "\\"))]
 
     def match(self, path: str, is_dir: bool) -> bool:
         p = path.replace("\\", "/")
@@ -105,8 +107,10 @@ class Walk:
 
 
 class Subtree(InputPartition):
-    def __init__(self, path: str | None) -> None:
-        self.path = path
+    """What stands directly in a directory (None: the root, with itself), or all below it."""
+
+    def __init__(self, path: str | None, whole: bool) -> None:
+        self.path, self.whole = path, whole
 
 
 class TreeReader(DataSourceReader):
@@ -117,8 +121,16 @@ class TreeReader(DataSourceReader):
             raise ValueError("the root of a scan must be a directory and no link")
 
     def partitions(self) -> list[Subtree]:
-        """The root with its direct children, and each top directory's inside."""
-        return [Subtree(None), *(Subtree(r[1]) for r in Walk(*self.args).children("") if r[4] == "directory")]
+        """The root with its direct children; and level by level, until there are SPLIT, directories with their direct children,
+        the inside of the last level's whole."""
+        walk, flat, level = Walk(*self.args), [None], [r[1] for r in Walk(*self.args).children("") if r[4] == "directory"]
+        while level and len(flat) + len(level) < SPLIT:
+            inner = [r[1] for d in level for r in walk.children(d) if r[4] == "directory"]
+            if len(inner) > 8 * SPLIT:
+                break
+            flat += level
+            level = inner
+        return [*(Subtree(d, False) for d in flat), *(Subtree(d, True) for d in level)]
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
         walk = Walk(*self.args)
@@ -126,8 +138,10 @@ class TreeReader(DataSourceReader):
             root = entry("", walk.root)
             yield (root[0], "", "", "", *root[4:])
             yield from walk.children("")
-        else:
+        elif partition.whole:
             yield from walk.below(partition.path)
+        else:
+            yield from walk.children(partition.path)
 
 
 class TreeSource(DataSource):
@@ -154,15 +168,18 @@ def identity(s: os.stat_result) -> tuple[int, ...]:
     return s.st_size, s.st_mtime_ns, s.st_ctime_ns, s.st_dev, s.st_ino
 
 
-def stable_chunks(path: str, size: int, attempts: int = 2) -> Iterator[list[bytes]] | None:
-    """The chunks of a file if it is the same before and after the read; None after so many attempts."""
+def stable_chunks(path: str, size: int, attempts: int = 2, offset: int = 0, most: int | None = None, state: tuple[int, ...] | None = None) -> list[bytes] | None:
+    """The chunks of a file, or of `most` bytes of it from `offset`, if it is the same before and after the read (and as in
+    `state`); None after so many attempts."""
     for _ in range(attempts):
         before = os.lstat(path)
         fd = os.open(path, os.O_RDONLY | os.O_NOFOLLOW)
         with os.fdopen(fd, "rb") as f:
-            parts = []
-            while part := f.read(size):
+            f.seek(offset)
+            parts, left = [], most
+            while left != 0 and (part := f.read(size if left is None else min(size, left))):
                 parts.append(part)
-        if identity(before) == identity(os.lstat(path)):
+                left = left if left is None else left - len(part)
+        if identity(before) == identity(os.lstat(path)) and state in (None, identity(before)):
             return parts
     return None

@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
-from cairn.plans.snapshot_queries import ORACLE, QUERIES
+from cairn.plans import repository_queries, snapshot_queries
 
+QUERIES, ORACLE = {**snapshot_queries.QUERIES, **repository_queries.QUERIES}, {**snapshot_queries.ORACLE, **repository_queries.ORACLE}
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
