@@ -17,6 +17,7 @@ import uuid
 import warnings
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import chain, groupby
 from threading import Event, Thread
 
 import pandas as pd
@@ -498,35 +499,85 @@ class Repository:
         parts = refs.join(held, "chunk_hash", "left")
         work = files.join(parts.select("relative_path", "sequence_number", "raw_length", "payload"), "relative_path", "left")
 
-        def write(key, frame: pd.DataFrame) -> pd.DataFrame:
-            frame, path = frame.sort_values("sequence_number"), key[0]
-            full, first = os.path.join(target, path), frame.iloc[0]
-            if os.path.lexists(full) and first["action"] != "replace":
+        def place(path: str, first, temporary: str | None, data: bytes | None) -> None:
+            """Put a verified file in its place: `data`, or what `temporary` holds."""
+            full = os.path.join(target, path)
+            temporary = temporary or f"{full}.{uuid.uuid4().hex}"
+            try:
+                if data is not None:
+                    with open(temporary, "xb") as f:
+                        f.write(data)
+                        f.flush()
+                        os.fsync(f.fileno())
+                os.chmod(temporary, int(first.posix_mode))
+                os.utime(temporary, ns=(int(first.modified_time_ns),) * 2)
+                os.replace(temporary, full)
+            except OSError:
+                if os.path.lexists(temporary):
+                    os.unlink(temporary)
+                raise
+
+        def clear(path: str, first) -> None:
+            full = os.path.join(target, path)
+            if os.path.lexists(full) and first.action != "replace":
                 # an earlier attempt of this task may have written it; anything else came after the plan
-                if os.path.islink(full) or not os.path.isfile(full) or os.path.getsize(full) != first["logical_size"] or blake3([b"".join(stable_chunks(full, MAX_CHUNK) or [])])[0] != first["file_hash"]:
+                if os.path.islink(full) or not os.path.isfile(full) or os.path.getsize(full) != first.logical_size or _file_hash(full) != first.file_hash:
                     raise RepositoryError("conflict", path)
-            numbers = frame["sequence_number"].dropna().astype(int).tolist()
-            if numbers != list(range(len(numbers))):
-                raise RepositoryError("corrupt_data", path)
-            data = b"".join(decompress_frame(bytes(p), int(n), MAX_CHUNK) for p, n in zip(frame["payload"], frame["raw_length"], strict=True)) if numbers else b""
-            if len(data) != first["logical_size"] or blake3([data])[0] != first["file_hash"]:
-                raise RepositoryError("corrupt_data", path)
-            temporary = f"{full}.{uuid.uuid4().hex}"
+
+        def small(held: list[tuple[object, bytes]]) -> pd.DataFrame:
+            """Verify files that fit in memory together, then write them."""
+            for (first, data), digest in zip(held, blake3([data for _, data in held]), strict=True):
+                if len(data) != first.logical_size or digest != first.file_hash:
+                    raise RepositoryError("corrupt_data", first.relative_path)
+                clear(first.relative_path, first)
+                place(first.relative_path, first, None, data)
+            return pd.DataFrame({"restored": [len(held)]})
+
+        def large(first, rows: Iterator) -> None:
+            """Write a file chunk by chunk beside its place, folding its hash piece by piece; it appears only if it is right."""
+            clear(first.relative_path, first)
+            temporary, marks, held, size = f"{os.path.join(target, first.relative_path)}.{uuid.uuid4().hex}", [], b"", 0
             try:
                 with open(temporary, "xb") as f:
-                    f.write(data)
+                    for row in rows:
+                        held += _chunk(row)
+                        while len(held) > PIECE:
+                            marks += subtrees([held[:PIECE]], [len(marks)], PIECE)
+                            f.write(held[:PIECE])
+                            size, held = size + PIECE, held[PIECE:]
+                    digest = join([*marks, *subtrees([held], [len(marks)], PIECE)]) if marks else blake3([held])[0]
+                    f.write(held)
+                    size += len(held)
                     f.flush()
                     os.fsync(f.fileno())
-                os.chmod(temporary, int(first["posix_mode"]))
-                os.utime(temporary, ns=(int(first["modified_time_ns"]),) * 2)
-                os.replace(temporary, full)
-            except OSError:
+                if size != first.logical_size or digest != first.file_hash:
+                    raise RepositoryError("corrupt_data", first.relative_path)
+                place(first.relative_path, first, temporary, None)
+            finally:
                 if os.path.lexists(temporary):
                     os.unlink(temporary)
-                raise
-            return pd.DataFrame([(path, "restored")], columns=["relative_path", "status"])
 
-        done = work.groupBy("relative_path").applyInPandas(write, "relative_path string, status string").groupBy("status").count().collect()
+        def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            # a partition's rows come by file and number
+            rows = (row for frame in frames for row in frame.itertuples(index=False))
+            held, bytes_held = [], 0
+            for _, own in groupby(rows, key=lambda r: r.relative_path):
+                first = next(own)
+                if first.logical_size > PIECE:
+                    large(first, chain([first], own))
+                    yield pd.DataFrame({"restored": [1]})
+                    continue
+                data = b"".join(_chunk(r) for r in chain([first], own)) if first.logical_size else b""
+                held.append((first, data))
+                bytes_held += len(data)
+                if bytes_held >= TOGETHER or len(held) >= 1000:
+                    yield small(held)
+                    held, bytes_held = [], 0
+            if held:
+                yield small(held)
+
+        dealt = work.repartition("relative_path").sortWithinPartitions("relative_path", "sequence_number")
+        restored = dealt.mapInPandas(write, "restored bigint").agg(F.coalesce(F.sum("restored"), F.lit(0))).first()[0]
         links = entries.where("entry_type = 'symlink'").select("relative_path", "symlink_target", "action").toLocalIterator()
         n_links = 0
         for link in links:
@@ -547,7 +598,7 @@ class Repository:
         drop_stage(plan)
         for line in unset:
             warnings.warn(f"directory metadata: {line}", stacklevel=3)
-        return {"restored": sum(r["count"] for r in done), "skipped": skipped, "directories": len(folders), "symlinks": n_links}
+        return {"restored": restored, "skipped": skipped, "directories": len(folders), "symlinks": n_links}
 
     # what a repository holds
 
@@ -573,6 +624,23 @@ class Repository:
         return {"logical_size": logical, "unique_size": unique, "stored_size": stored, "deduplication": part(unique, logical), "compression": part(stored, unique), "total": part(stored, logical)}
 
 
+def _chunk(row) -> bytes:
+    """The content of a row's chunk; its layout has been checked, but the object may be missing."""
+    if row.payload is None:
+        raise RepositoryError("corrupt_data", row.relative_path)
+    return decompress_frame(bytes(row.payload), int(row.raw_length), MAX_CHUNK)
+
+
+def _file_hash(path: str) -> str:
+    marks = []
+    with open(path, "rb") as f:
+        held = f.read(PIECE)
+        while more := f.read(PIECE):
+            marks += subtrees([held], [len(marks)], PIECE)
+            held = more
+    return join([*marks, *subtrees([held], [len(marks)], PIECE)]) if marks else blake3([held])[0]
+
+
 @contextmanager
 def _cancelling(spark: SparkSession, cancel: Event | None) -> Iterator[None]:
     """Stops the jobs started inside once `cancel` is set, and says so."""
