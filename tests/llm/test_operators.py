@@ -674,3 +674,12 @@ def test_warc_without_broadcast_is_the_same(spark, tmp_path, monkeypatch):
     one = sorted(map(tuple, warc.archive(pages, str(tmp_path / "a")).collect()))
     monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
     assert one == sorted(map(tuple, warc.archive(pages, str(tmp_path / "b")).collect())) and len(one) == 60
+
+
+def test_licenses_and_pieces_of_rows_without_id_and_repeated_ids(spark):
+    rows = [(None, "MIT License"), (None, "MIT License"), (3, "GPL v3"), (3, "BSD 3-Clause"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted(str((r.doc_id, r.labels)) for r in license.licenses(docs).collect())
+    assert got == sorted(map(str, [(None, "mit"), (None, "mit"), (3, "gpl-3.0"), (3, "bsd-3-clause"), (3, "")]))
+    got = sorted(str((r.doc_id, bytes(r.decoded).decode(), r.exact)) for r in sentencepiece.encode(docs, MODEL).collect())
+    assert got == sorted(str((d, t or "", True)) for d, t in rows)
