@@ -1,4 +1,5 @@
 import os
+import uuid
 from pathlib import Path
 
 import pytest
@@ -259,3 +260,36 @@ def test_streams(spark, tmp_path):
     q = event_counts(spark, str(tmp_path / "ev"), "ts timestamp, event_type string").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counts").agg({"n": "sum"}).first()[0] == events.count()
+
+
+def test_full_verify_hashes_objects_together(spark, tmp_path, monkeypatch):
+    """Hashes are computed for many objects at a time, every damaged one counts, and groups are bounded in bytes."""
+    source, root = tmp_path / "many", tmp_path / "repo"
+    source.mkdir()
+    for k in range(40):
+        (source / f"{k}.bin").write_bytes(bytes([k]) * (100 + k))
+    r = Repository.create(spark, str(root), chunk_size=128)
+    r.snapshot(str(source))
+    assert all(x.n == 0 for x in r.verify(full=True).collect())
+    from cairn.plans import repository as module
+
+    table = r.table("objects")
+    rows = sorted(table.select("hash", "raw_size", "payload").collect(), key=lambda x: x.hash)
+    same = [x for x in rows if x.raw_size == 128]
+    swapped = {same[0].hash: bytes(same[1].payload), same[2].hash: b"no frame", rows[-1].hash: b""}
+    broken = spark.createDataFrame([(x.hash, x.raw_size, swapped.get(x.hash, bytes(x.payload))) for x in rows], "hash string, raw_size bigint, payload binary")
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    real = module.blake3
+
+    def counted(messages):
+        (calls / uuid.uuid4().hex).write_text(f"{len(messages)} {sum(map(len, messages))}")
+        return real(messages)
+
+    monkeypatch.setattr(module, "blake3", counted)
+    monkeypatch.setattr(module, "TOGETHER", 1000)
+    broken.coalesce(1).write.mode("overwrite").parquet(str(root / "objects/snapshot_id=1"))
+    assert {x.violation: x.n for x in r.verify(full=True).collect()}["damaged object"] == len(swapped)
+    made = [tuple(map(int, f.read_text().split())) for f in calls.iterdir()]
+    assert sum(n for n, _ in made) == len(rows) - 2 and max(b for _, b in made) < 1000 + 128
+    assert len(made) <= sum(b for _, b in made) / 1000 + 2
