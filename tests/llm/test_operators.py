@@ -683,3 +683,21 @@ def test_licenses_and_pieces_of_rows_without_id_and_repeated_ids(spark):
     assert got == sorted(map(str, [(None, "mit"), (None, "mit"), (3, "gpl-3.0"), (3, "bsd-3-clause"), (3, "")]))
     got = sorted(str((r.doc_id, bytes(r.decoded).decode(), r.exact)) for r in sentencepiece.encode(docs, MODEL).collect())
     assert got == sorted(str((d, t or "", True)) for d, t in rows)
+
+
+def test_decontamination_space_is_that_of_all_items():
+    """The latent space is that of an exact SVD of every item, whatever the documents; up to its rank it holds all of them."""
+    random = np.random.Generator(np.random.PCG64(4))
+    for n in (40, 400):
+        it = decontam.Items(list(range(n)), [" ".join(f"w{k}" for k in random.zipf(1.3, 30) % 900) for _ in range(n)])
+        idf = random.random(len(it.vocabulary)) * 5 + 0.3
+        it.count(np.ones(len(it.vocabulary)), 10)
+        a = np.zeros((n, decontam.FEATURES))
+        for i, t in enumerate(it.terms):
+            np.add.at(a[i], it.feature[t], idf[t])
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        space = decontam.latent_space(it, idf).astype(float)
+        values = np.linalg.svd(a, compute_uv=False)[: decontam.LATENT]
+        assert np.linalg.norm(a @ space) ** 2 >= 0.9999 * (values**2).sum()
+        norms = np.linalg.norm(space, axis=0)
+        assert np.allclose(norms[norms > 0], 1, atol=1e-4) and (n > decontam.LATENT or np.allclose(a @ space @ space.T, a, atol=1e-4))
