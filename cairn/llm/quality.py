@@ -2,7 +2,8 @@
 
 A document's terms are its words (runs of letters and digits), its runs of other signs, bigrams of both and trigrams
 of word shapes; a word that repeats the one before it counts as a repeat sign. Terms are hashed into 2^18 cells, counts
-damped by a square root and the row scaled to length one, so a score is one sparse dot product.
+damped by a square root and the row scaled to length one, so a score is one sparse dot product. Labelled rows are dealt to
+tasks, and the weights that each task comes to are averaged, so all of them count.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from pyspark.sql import functions as F
 
 from cairn.llm.labelled import fit, remainder, share, training_rows
 from cairn.llm.textbytes import ALNUM, NOT_SPACE, mix, slices, span_hashes, spans
-from cairn.session import ship
+from cairn.session import drop_stage, ship
 
 CELLS = 1 << 18
-#: Bound of the labelled rows that the model is fitted on.
-TRAIN_ROWS = 8000
+#: Labelled rows, about, that one task trains on; of more rows the tasks' weights are averaged.
+PART_ROWS = 8000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.1, 3
 
 _CLASS = np.zeros(256, dtype=np.uint8)  # 0 white, 1 word, 2 sign
@@ -121,10 +122,13 @@ def _keep(model, least: float):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held: int = 2, limit: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
-    """Fit on at most `limit` labelled documents outside the fold `held`. Without such rows every score is 0.5."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held: int = 2) -> dict[str, np.ndarray]:
+    """Fit on all labelled documents outside the fold `held`. Without such rows every score is 0.5."""
     ship(docs.sparkSession)
-    return fit(training_rows(docs, labels, label, modulus, held, limit), ftrl)
+    rows = training_rows(docs, labels, label, modulus, held)
+    model = fit(rows, ftrl, PART_ROWS)
+    drop_stage(rows)
+    return model
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
