@@ -701,3 +701,45 @@ def test_decontamination_space_is_that_of_all_items():
         assert np.linalg.norm(a @ space) ** 2 >= 0.9999 * (values**2).sum()
         norms = np.linalg.norm(space, axis=0)
         assert np.allclose(norms[norms > 0], 1, atol=1e-4) and (n > decontam.LATENT or np.allclose(a @ space @ space.T, a, atol=1e-4))
+
+
+def test_labelled_models_use_every_row(spark, monkeypatch):
+    """No bound on rows or bytes: rows far beyond a part count, parts are averaged, and counts in buckets equal plain ones."""
+    from cairn.llm import labelled
+
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice("abcdefghijklmnop"[: 16 - 2 * (i % 3 == 0)]) for _ in range(rng.randrange(0, 160)))) for i in range(300)]
+    docs += [(1000 + i, f"only {'vile' if i % 2 else 'kind'} w{i}") for i in range(40)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i, _ in docs], "doc_id long, quality int, toxic int")
+
+    monkeypatch.setattr(quality, "PART_ROWS", 50)
+    rows = labelled.training_rows(d, lab, "quality", 4, 2)
+    texts = sorted(r.text for r in rows.collect())
+
+    def trainer(batches):
+        own = [x for b in batches for x in b.column(b.schema.get_field_index("text")).to_pylist()]
+        return {"w": np.array([len(own), sum(map(len, own))], dtype=np.float32)}
+
+    parts = labelled.parts_of(rows, 50)
+    got = labelled.fit(rows, trainer, 50)["w"] * parts
+    assert parts > 3 and np.allclose(got, [len(texts), sum(map(len, texts))], rtol=1e-5)
+    assert quality.train(d, lab)["w"].any()
+
+    monkeypatch.setattr(toxicity, "BUCKET_BYTES", 1000)
+    monkeypatch.setattr(toxicity, "HELD_WORDS", 100)
+    rows = labelled.training_rows(d, lab, "toxic", 3, 1)
+    model = toxicity.fitted(rows)
+    own = rows.where(~toxicity._late()).orderBy("doc_id").collect()
+    import pyarrow as pa
+
+    from cairn.llm.textbytes import column_bytes
+
+    w, b, first = toxicity.words(*column_bytes(pa.array([r.text for r in own])))
+    before = np.concatenate([[np.uint64(1)], w[:-1]])
+    before[first[:-1][np.diff(first) > 0]] = 1
+    plain = toxicity.estimate(w, b, before, np.repeat([r.y for r in own], np.diff(first)))
+    assert len(plain["pair"]) > 20 and len(model["word"]) < len(plain["word"])
+    assert np.array_equal(model["pair"], plain["pair"]) and np.allclose(model["over"], plain["over"])
+    w, b, first = toxicity.words(*column_bytes(pa.array([t for _, t in docs])))
+    assert np.allclose(*(toxicity.evidence(toxicity.probabilities(m, w, b, first), first) for m in (model, plain)))
